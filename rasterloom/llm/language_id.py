@@ -185,6 +185,6 @@ def op1_naive_bayes_language(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows whose language is told with a score of ``least`` or more, columns unchanged."""
     return identify(docs, fit(docs.where(~held_out()))).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
