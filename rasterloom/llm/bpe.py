@@ -3,8 +3,10 @@
 A sequence of tokens is the BPE encoding of its bytes exactly if each token encodes itself and each adjacent pair does so
 as a pair. The last token of every prefix is therefore unique, and an encoder needs only, for each position at
 which a longer token could still begin, the path of tokens that leads there. Tokens on all those paths are final. A
-state is (last final token, bytes after it); its transitions (next state, tokens emitted) are made when first taken and
-kept. Lookahead is bounded: no token begins more than the longest token's length before the end of what was read.
+state is the bytes after the last final token; its transitions (next state, tokens emitted) are made when first taken and
+kept. Whether the first of the emitted tokens may follow the one before is looked up when it is emitted; in the rare case
+that it may not, the bytes since then are read again from a state that holds the token before as well.
+Lookahead is bounded: no token begins more than the longest token's length before the end of what was read.
 
 Decoding joins the tokens' bytes and runs an incremental UTF-8 machine over them, which holds back at most three bytes.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,10 +27,11 @@ from pyspark.sql import types as T
 
 from ._shared import ship, slices
 
-CACHED_PIECES = 1 << 18
-CACHED_STATES = 400_000
+CACHED_PIECES = 300_000
+CACHED_STATES = 1 << 17
 CACHED_PAIRS = 1 << 19
 LONGEST_CACHED = 48
+LONG = 1 << 20
 CHUNK = 1 << 14  # ids decoded at a time
 BYTES = 4 << 20  # text handled at a time
 
@@ -37,6 +41,22 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class State(dict):
+    """By byte: (next state, ids that became final). ``before`` is the token before ``held`` where that still matters."""
+
+    __slots__ = ("before", "begins", "end", "held", "live", "made_by")
+
+    def __init__(self, made_by: Transducer, before: bytes, held: bytes, begins: tuple[int, ...], live: tuple[int, ...]) -> None:
+        super().__init__()
+        self.made_by, self.before, self.held = made_by, before, held
+        self.begins, self.live = begins, live  # where the last token of each prefix begins; where a token may begin
+        self.end: tuple[int, ...] | None = None  # the ids of ``held`` if the piece ends here
+
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
+        move = self[byte] = self.made_by.move(self, byte)
+        return move
+
+
 class Transducer:
     """Encodes one piece at a time; the tables that it fills lazily are bounded and only save time."""
 
@@ -44,18 +64,16 @@ class Transducer:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no token for the bytes {missing[:5]}")
         self.ranks = ranks
+        self.tokens = {i: t for t, i in ranks.items()}
         self.open = {t[:n] for t in ranks for n in range(1, len(t))}  # what a longer token can begin with
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.splits: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.follows: dict[int, bool] = {}  # by left id * 2**32 + right id
         self._reset()
 
     def _reset(self) -> None:
-        #: (last final token, bytes since, where the last token of each prefix of them begins, where a token may begin)
-        self.states: list[tuple[bytes, bytes, tuple[int, ...], tuple[int, ...]]] = []
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
-        self.rest: dict[int, tuple[int, ...]] = {}
-        self._state(b"", b"", (0,), (0,))
+        self.states: dict[tuple[bytes, bytes], State] = {}
+        self.again: dict[tuple[bytes, bytes], tuple[State, tuple[int, ...]]] = {}
+        self.start = self._state(b"", b"", (0,), (0,))
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none or ``least`` parts are left."""
@@ -79,13 +97,17 @@ class Transducer:
         return self.splits[token]
 
     def _fits(self, left: bytes, right: bytes) -> bool:
-        """Whether ``right`` can follow ``left``; an empty ``left`` is the start."""
-        known = self.pairs.get((left, right))
+        """Whether ``right`` can follow ``left``; with an empty ``left``, whether it is the encoding of its own bytes."""
+        if len(right) > 1 and self._split(right) is None:
+            return False
+        if not left:
+            return True
+        key = self.ranks[left] << 32 | self.ranks[right]
+        known = self.follows.get(key)
         if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = len(right) == 1 or self._split(right) is not None
-            known = self.pairs[left, right] = known and (not left or self._apart(left, right))
+            if len(self.follows) >= CACHED_PAIRS:
+                self.follows.clear()
+            known = self.follows[key] = self._apart(left, right)
         return known
 
     def _apart(self, left: bytes, right: bytes) -> bool:
@@ -107,12 +129,11 @@ class Transducer:
             else:
                 before, right = b + 1, self._split(right)[0]
 
-    def _state(self, before: bytes, held: bytes, begins: tuple[int, ...], live: tuple[int, ...]) -> int:
-        at = self.numbers.get((before, held))
-        if at is None:
-            at = self.numbers[before, held] = len(self.states)
-            self.states.append((before, held, begins, live))
-        return at
+    def _state(self, before: bytes, held: bytes, begins: tuple[int, ...], live: tuple[int, ...]) -> State:
+        state = self.states.get((before, held))
+        if state is None:
+            state = self.states[before, held] = State(self, before, held, begins, live)
+        return state
 
     @staticmethod
     def _path(begins: tuple[int, ...], end: int) -> list[int]:
@@ -150,59 +171,75 @@ class Transducer:
                 begins, live = tuple([max(0, x - final) for x in begins[final:]]), tuple([j - final for j in live])
         return (before, held, begins, live), ids
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one piece, as if each token were handed on once it is final."""
+    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        full, ids = self._step((state.before, state.held, state.begins, state.live), byte)
+        return self._state(b"" if ids else full[0], *full[1:]), ids
+
+    def _reread(self, before: bytes, held: bytes) -> tuple[State, tuple[int, ...]]:
+        """State and final tokens after ``held``, which follows ``before``."""
+        known = self.again.get((before, held))
+        if known is None:
+            full, out = (before, b"", (0,), (0,)), ()
+            for byte in held:
+                full, ids = self._step(full, byte)
+                out += ids
+            known = self.again[before, held] = self._state(b"" if out else before, *full[1:]), out
+        return known
+
+    def _end(self, state: State) -> tuple[int, ...]:
+        if state.end is None:
+            path = self._path(state.begins, len(state.held))[::-1]
+            state.end = tuple([self.ranks[state.held[a:b]] for a, b in zip(path, path[1:], strict=False)])
+        return state.end
+
+    def encode(self, piece: bytes) -> list[int]:
+        """The ids of one piece, each token handed on once it is final."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        state, out, moves = 0, [], self.moves
-        for at, byte in enumerate(piece):
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(self.states) >= CACHED_STATES:
-                    return (*out, *self._on(self.states[state], piece[at:]))
-                full, tokens = self._step(self.states[state], byte)
-                move = moves[state << 8 | byte] = self._state(*full), tokens
-            state, tokens = move
-            if tokens:
-                out += tokens
-        rest = self.rest.get(state)
-        if rest is None:
-            rest = self.rest[state] = self._end(self.states[state])
-        out += rest
-        return tuple(out)
-
-    def _on(self, state: tuple, piece: bytes) -> list[int]:
-        """The rest of a piece without adding states."""
+            return [whole]
+        if len(self.states) + len(self.again) > CACHED_STATES:
+            self._reset()
         out: list[int] = []
+        state, follows = self.start, self.follows
         for byte in piece:
-            state, tokens = self._step(state, byte)
-            out += tokens
-        return out + [*self._end(state)]
-
-    def _end(self, state: tuple) -> tuple[int, ...]:
-        _, held, begins, _ = state
-        path = self._path(begins, len(held))[::-1]
-        return tuple([self.ranks[held[a:b]] for a, b in zip(path, path[1:], strict=False)])
+            after, ids = state[byte]
+            if ids:
+                if out:
+                    ok = follows.get(out[-1] << 32 | ids[0])
+                    if ok is None:
+                        ok = self._fits(self.tokens[out[-1]], self.tokens[ids[0]])
+                    if not ok:
+                        after, ids = self._reread(self.tokens[out[-1]], state.held + bytes((byte,)))
+                out += ids
+            state = after
+        ids = state.end or self._end(state)
+        if out and ids and not (follows.get(out[-1] << 32 | ids[0]) or self._fits(self.tokens[out[-1]], self.tokens[ids[0]])):
+            state, ids = self._reread(self.tokens[out[-1]], state.held)
+            out += ids
+            ids = self._end(state)
+        out += ids
+        return out
 
 
 class Encoder(dict):
-    """Pieces to their ids as little-endian int32; pieces beyond the bound are encoded each time they come."""
+    """Pieces to their ids as int32; pieces beyond the bound are encoded each time they come."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
-        self.transducer, self.find = Transducer(ranks), regex.compile(pattern).finditer
+        self.transducer, self.find = Transducer(ranks), regex.compile(pattern)
         self.missed = 0
 
     def __missing__(self, piece: str) -> bytes:
         self.missed += 1
-        ids = np.array(self.transducer.encode(piece.encode()), "<i4").tobytes()
+        ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(self) < CACHED_PIECES and len(piece) <= LONGEST_CACHED:
             self[piece] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join([self[m.group()] for m in self.find(text)])
+        if len(text) <= LONG:
+            return b"".join(map(self.__getitem__, self.find.findall(text)))
+        return b"".join([self[m.group()] for m in self.find.finditer(text)])  # without a list of all pieces
 
 
 @functools.lru_cache(maxsize=2)
