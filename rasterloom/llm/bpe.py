@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -27,12 +28,17 @@ from pyspark.sql import types as T
 
 from ._shared import ship, slices
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 CACHED_STATES = 1 << 17
 CACHED_PAIRS = 1 << 19
 LONGEST_CACHED = 48
 LONG = 1 << 20
-CHUNK = 1 << 14  # ids decoded at a time
+CHUNK = 1 << 16  # ids decoded at a time
+
+# The code points with Unicode's White_Space property, and a splitter for patterns whose matches end before
+# white space, but for one space that can begin a match: each match of the pattern lies in one match of the splitter.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WORDS = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"
 BYTES = 4 << 20  # text handled at a time
 
 
@@ -221,13 +227,12 @@ class Transducer:
         return out
 
 
-class Encoder(dict):
+class Pieces(dict):
     """Pieces to their ids as int32; pieces beyond the bound are encoded each time they come."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.transducer, self.find = Transducer(ranks), regex.compile(pattern)
-        self.missed = 0
+        self.transducer, self.missed = Transducer(ranks), 0
 
     def __missing__(self, piece: str) -> bytes:
         self.missed += 1
@@ -236,20 +241,61 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+
+class Encoder(dict):
+    """Matches of ``splitter`` to the ids of the pieces in them, within the same bound; without a splitter, of whole texts."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, splitter: str | None) -> None:
+        super().__init__()
+        self.pieces, self.find, self.split = Pieces(ranks), regex.compile(pattern), splitter and re.compile(splitter)
+
+    def of(self, text: str) -> bytes:
+        """The ids of all pieces of ``text``."""
+        if len(text) <= LONG:
+            return b"".join(map(self.pieces.__getitem__, self.find.findall(text)))
+        return b"".join([self.pieces[m.group()] for m in self.find.finditer(text)])  # without a list of all pieces
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.of(part)
+        if len(self) < CACHED_PIECES and len(part) <= LONGEST_CACHED:
+            self[part] = ids
+        return ids
+
     def ids(self, text: str) -> bytes:
+        if not self.split:
+            return self.of(text)
         if len(text) <= LONG:
-            return b"".join(map(self.__getitem__, self.find.findall(text)))
-        return b"".join([self[m.group()] for m in self.find.finditer(text)])  # without a list of all pieces
+            return b"".join(map(self.__getitem__, self.split.findall(text)))
+        return b"".join([self[m.group()] for m in self.split.finditer(text)])
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(data: bytes, pattern: str) -> Encoder:
-    return Encoder(read_ranks(data), pattern)
+def encoder(data: bytes, pattern: str, splitter: str | None) -> Encoder:
+    return Encoder(read_ranks(data), pattern, splitter)
+
+
+class Tokens:
+    """The bytes of token ids, end to end in one array."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = np.full(max(ranks.values()) + 1, -1, np.int64)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
+        self.start = np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)
+        self.data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.size) or (size := self.size[ids]).min() < 0:
+            raise KeyError("an id that is not in the vocabulary")
+        ends = np.cumsum(size)
+        return self.data[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(data: bytes) -> dict[int, bytes]:
-    return {i: t for t, i in read_ranks(data).items()}
+def token_table(data: bytes) -> Tokens:
+    return Tokens(read_ranks(data))
 
 
 class Utf8Stream:
@@ -287,41 +333,51 @@ class Utf8Stream:
         return text
 
 
-def decode_stream(chunks: Iterable[Iterable[int]], tokens: dict[int, bytes]) -> Iterator[str]:
+def decode_stream(chunks: Iterable[np.ndarray], tokens: Tokens) -> Iterator[str]:
     """Text as chunks of ids arrive. An unknown id raises KeyError; ill-formed bytes become U+FFFD."""
     machine = Utf8Stream()
     for ids in chunks:
-        yield machine.feed(b"".join([tokens[i] for i in ids]))
+        yield machine.feed(tokens.join(ids))
     yield machine.close()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _text(ids: np.ndarray, tokens: Tokens) -> str:
+    return "".join(decode_stream((ids[i : i + CHUNK] for i in range(0, len(ids), CHUNK)), tokens))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, splitter: str | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col`` (array<int>, replaced if there) in place of the text.
 
     Each match of ``pattern`` in the whole text is encoded separately; a null text has no ids, like an empty one.
-    ``ranks_path`` is read on the driver; its bytes are broadcast (a vocabulary's size, whatever the input).
+    ``splitter`` (``WORDS`` for patterns of its kind) cuts texts into parts that repeat, to save time. With ``decoded_col`` the ids
+    are decoded again in the same pass. ``ranks_path`` is read on the driver; its bytes are broadcast (a vocabulary's size,
+    whatever the input).
     """
     spark = docs.sparkSession
     ship(spark)
     with open(ranks_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
-    if ids_col != text_col:
-        docs = docs.drop(ids_col)
+    docs = docs.drop(*{ids_col, decoded_col or ids_col} - {text_col})
     others = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*others, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    if decoded_col:
+        schema = T.StructType([*schema.fields, T.StructField(decoded_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(held.value, pattern)
+        own, tokens = encoder(held.value, pattern, splitter), token_table(held.value)
         for whole in batches:
             for b in slices(whole, text_col, BYTES):
-                own.missed, texts = 0, b.column(text_col).to_pylist()
-                ids = [own.ids(t) if t else b"" for t in texts]
+                own.pieces.missed = 0
+                ids = [own.ids(t) if t else b"" for t in b.column(text_col).to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), pa.ListArray.from_arrays(pa.array(ends), values)], schema.names)
-                if len(own) >= CACHED_PIECES and own.missed > sum(map(len, ids)) // 12:
-                    encoder.cache_clear()  # many pieces are new: what is kept has become stale
-                    own = encoder(held.value, pattern)
+                values = np.frombuffer(b"".join(ids), np.int32)
+                columns = [*(b.column(f.name) for f in others), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+                if decoded_col:
+                    columns.append(pa.array([_text(values[i:j], tokens) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                if own.pieces.missed > len(values) // 3:  # many pieces are new: what is kept may have become stale
+                    own.clear()
+                    own.pieces.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -336,15 +392,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", text_col:
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_bytes(held.value)
+        tokens = token_table(held.value)
         for b in batches:
-            out = []
-            for ids in b.column(ids_col):
-                if not ids.is_valid:
-                    out.append(None)
-                    continue
-                values = ids.values
-                out.append("".join(decode_stream((values.slice(i, CHUNK).to_pylist() for i in range(0, len(values), CHUNK)), tokens)))
+            out = [_text(ids.values.to_numpy(), tokens) if ids.is_valid else None for ids in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], schema.names)
 
     return encoded.mapInArrow(run, schema)
@@ -355,8 +405,8 @@ def op10_bpe_transducer(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return decode(ids, path).select(
+    both = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, WORDS, decoded_col="decoded")
+    return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
