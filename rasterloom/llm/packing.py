@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +27,63 @@ from pyspark.sql import types as T
 from ._shared import cut, ship, slices
 
 LANES = 16
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
+TAIL = b".,;:!?"
 BYTES = 4 << 20
 
 
+class Words(dict):
+    """Words to their little-endian uint32 ids, up to a bound.
+
+    Words are the stretches between ASCII white space, which this kind of tokenizer (lower case, white space dropped, no merge
+    across it) handles one by one; so it does a run of punctuation after a letter. What is new goes through the library.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.parts = tokenizer, {}
+
+    def learn(self, fresh: list[bytes]) -> None:
+        split, new = [], set()
+        for w in fresh:
+            core = w.rstrip(TAIL)
+            if core and len(core) < len(w) and (core[-1:].isalnum() or core.decode()[-1].isalpha()):
+                own = (core.lower() if core.isascii() else core, w[len(core) :])
+            else:
+                own = (w.lower() if w.isascii() else w,)
+            split.append(own)
+            new.update(own)
+        new -= self.parts.keys()
+        model, whole = self.tokenizer.model, []
+        for part in new:
+            if part.isalpha():  # ASCII letters: what the normalizer and the splitter leave as it is
+                self.parts[part] = array("I", [t.id for t in model.tokenize(part.decode())]).tobytes()
+            else:
+                whole.append(part)
+        for part, e in zip(whole, self.tokenizer.encode_batch_fast([x.decode() for x in whole], add_special_tokens=False), strict=True):
+            self.parts[part] = array("I", e.ids).tobytes()
+        for w, own in zip(fresh, split, strict=True):
+            self[w] = self.parts[own[0]] if len(own) == 1 else self.parts[own[0]] + self.parts[own[1]]
+        if len(self.parts) > CACHED_WORDS:
+            for part in new:
+                del self.parts[part]
+
+
 @functools.lru_cache(maxsize=2)
-def _tokenizer(data: bytes):
+def _words(data: bytes) -> Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_buffer(data), {}
+    return Words(Tokenizer.from_buffer(data))
 
 
-def word_ids(texts: list[str | None], tokenizer, known: dict[bytes, bytes]) -> Iterator[bytes]:
-    """Little-endian uint32 ids of each text. ``known`` keeps the ids of words, up to a bound.
-
-    Words are the stretches between ASCII white space, which this kind of tokenizer (white space dropped, no merge across
-    it) handles one by one; each new one goes through the library.
-    """
+def word_ids(texts: list[str | None], known: Words) -> Iterator[bytes]:
+    """Little-endian uint32 ids of each text."""
     split = [t.encode().split() if t else () for t in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    for w, e in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
+    fresh = list(set().union(*split) - known.keys())
+    known.learn(fresh)
     for words in split:
-        yield b"".join([known[w] for w in words])
+        yield b"".join(map(known.__getitem__, words))
     if len(known) > CACHED_WORDS:
         for w in fresh:
             del known[w]
@@ -71,11 +105,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(held.value)
+        known = _words(held.value)
         for whole in batches:
             for b in slices(whole, "text", BYTES):
                 row, start, size, total, ids = [], [], [], [], []
-                for k, own in enumerate(word_ids(b.column("text").to_pylist(), tokenizer, known)):
+                for k, own in enumerate(word_ids(b.column("text").to_pylist(), known)):
                     own += end
                     n = len(own) // 4
                     for at in range(0, n, capacity):
