@@ -40,7 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (module, _) in _QUERIES.items():
-        sql = getattr(importlib.import_module(f"{__package__}.{module}"), f"{name.split('_')[0].upper()}_SQL", None)
+        sql = getattr(importlib.import_module(f"{__package__}.{module}"), f"{name.partition('_')[0].upper()}_SQL", None)
         if sql:
             out[name] = sql
     return out
