@@ -80,11 +80,15 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(fps: np.ndarray, buckets: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the first row of its set: rows of a bucket link at ``radius`` or fewer differing bits.
-
-    ``buckets`` is sorted. ``radius`` is at most 2, what two counter planes can tell.
-    """
+    """For each row the first row of its set: rows of a bucket link at ``radius`` or fewer differing bits."""
     label = np.arange(len(fps))
+    for a, b in matches(fps, buckets, radius):
+        label = _unite(label, a, b)
+    return label
+
+
+def matches(fps: np.ndarray, buckets: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a before b) of a bucket at ``radius`` or fewer differing bits, in blocks; ``buckets`` is sorted."""
     first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
     size = np.diff(np.append(first, len(fps)))
     rank = np.arange(len(fps)) - np.repeat(first, size)
@@ -110,36 +114,41 @@ def linked(fps: np.ndarray, buckets: np.ndarray, radius: int) -> np.ndarray:
             continue
         word = row_word[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         own = word == row_word[row]
-        ones = twos = np.zeros(len(row), np.uint64)
+        counters = [np.zeros(len(row), np.uint64) for _ in range((radius + 1).bit_length())]
         over = ~valid[word]
         over[own] |= ALL >> (np.uint64(63) - lane[row[own]])  # itself and the rows before it
         for k in range(64):
-            p = k % 4 * 16 + k // 4  # the blocks in turn: two of four are equal in any bucket
-            x = planes[p][word] ^ (np.uint64(0) - ((fps[row] >> np.uint64(p)) & np.uint64(1)))
-            carry = ones & x
-            ones = ones ^ x
-            over = over | (twos & carry)
-            twos = twos ^ carry
+            p = k % 4 * 16 + k // 4  # the blocks in turn: some of them are equal in any bucket
+            carry = planes[p][word] ^ (np.uint64(0) - ((fps[row] >> np.uint64(p)) & np.uint64(1)))
+            for c, counter in enumerate(counters):  # carry-save: add one bit to 64 counters at once
+                counters[c], carry = counter ^ carry, counter & carry
+            over = over | carry
             if k % 4 == 3:
-                out = over | _beyond(ones, twos, radius)
+                out = over | _beyond(counters, radius)
                 keep = out != ALL
                 if not keep.all():  # abandon the words of which every lane exceeds the radius
-                    row, word, ones, twos, over = row[keep], word[keep], ones[keep], twos[keep], over[keep]
+                    row, word, over, counters = row[keep], word[keep], over[keep], [c[keep] for c in counters]
                 if not len(row):
                     break
-        hits = ~(over | _beyond(ones, twos, radius))
+        hits = ~(over | _beyond(counters, radius))
         while len(row):
             some = hits != 0
             row, word, hits = row[some], word[some], hits[some]
             low = hits & (np.uint64(0) - hits)
-            label = _unite(label, row, word_first[word] + np.log2(low.astype(np.float64)).astype(np.int64))
+            if len(row):
+                yield row, word_first[word] + np.log2(low.astype(np.float64)).astype(np.int64)
             hits = hits ^ low
-    return label
 
 
-def _beyond(ones: np.ndarray, twos: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose count (ones + 2 * twos) is over the radius."""
-    return (ones & twos) if radius == 2 else twos if radius == 1 else ones | twos
+def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter, lowest plane first, is over the radius. A counter that overflowed is marked where that happens."""
+    more, same = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & counters[k]
+        else:
+            more, same = more | (same & counters[k]), same & ~counters[k]
+    return more
 
 
 def _link(radius: int):
