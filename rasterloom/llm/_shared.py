@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -68,6 +68,23 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """A large object that this Python worker keeps for its next task; only one, so that operators in turn do not add up."""
+    if key not in _RESIDENT:
+        release()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Let go of what an earlier operator kept in this Python worker."""
+    _RESIDENT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose ``column`` holds about ``limit`` bytes each (a longer single row is a part alone)."""
     start = held = 0

@@ -14,7 +14,6 @@ Decoding joins the tokens' bytes and runs an incremental UTF-8 machine over them
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import ship, slices
+from ._shared import resident, ship, slices
 
 CACHED_PIECES = 200_000
 CACHED_STATES = 1 << 17
@@ -269,11 +268,6 @@ class Encoder(dict):
         return b"".join([self[m.group()] for m in self.split.finditer(text)])
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(data: bytes, pattern: str, splitter: str | None) -> Encoder:
-    return Encoder(read_ranks(data), pattern, splitter)
-
-
 class Tokens:
     """The bytes of token ids, end to end in one array."""
 
@@ -293,11 +287,6 @@ class Tokens:
         return self.data[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
 
 
-@functools.lru_cache(maxsize=2)
-def token_table(data: bytes) -> Tokens:
-    return Tokens(read_ranks(data))
-
-
 class Utf8Stream:
     """An incremental UTF-8 machine: text for the bytes fed so far, but for an unfinished last character."""
 
@@ -364,7 +353,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, splitter: str | None
         schema = T.StructType([*schema.fields, T.StructField(decoded_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tokens = encoder(held.value, pattern, splitter), token_table(held.value)
+        ranks = read_ranks(held.value)
+        own = resident(("bpe", hash(held.value), pattern, splitter), lambda: Encoder(ranks, pattern, splitter))
+        tokens = Tokens(ranks)
         for whole in batches:
             for b in slices(whole, text_col, BYTES):
                 own.pieces.missed = 0
@@ -392,7 +383,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", text_col:
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_table(held.value)
+        tokens = Tokens(read_ranks(held.value))
         for b in batches:
             out = [_text(ids.values.to_numpy(), tokens) if ids.is_valid else None for ids in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], schema.names)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, ship
+from ._shared import cut, release, ship
 
 PREFIX = 16
 
@@ -31,6 +31,7 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbouring full comparisons over one sorted partition; a row's run is told once its key is over."""
+    release()
     context = TaskContext.get()
     pid, run = context.partitionId() if context else 0, -1
     key, text, first_key = None, None, True

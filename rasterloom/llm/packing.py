@@ -12,7 +12,6 @@ bounded whatever the input's size.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
 from array import array
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import cut, ship, slices
+from ._shared import cut, resident, ship, slices
 
 LANES = 16
 CACHED_WORDS = 300_000
@@ -69,7 +68,6 @@ class Words(dict):
                 del self.parts[part]
 
 
-@functools.lru_cache(maxsize=2)
 def _words(data: bytes) -> Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -105,7 +103,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _words(held.value)
+        known = resident(("words", hash(held.value)), lambda: _words(held.value))
         for whole in batches:
             for b in slices(whole, "text", BYTES):
                 row, start, size, total, ids = [], [], [], [], []
