@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 from ._shared import cut, resident, ship, slices
 
 LANES = 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 160_000
+CACHED_PARTS = 270_000
 TAIL = b".,;:!?"
-BYTES = 4 << 20
+BYTES = 2 << 20
 
 
 class Words(dict):
@@ -63,7 +64,7 @@ class Words(dict):
             self.parts[part] = array("I", e.ids).tobytes()
         for w, own in zip(fresh, split, strict=True):
             self[w] = self.parts[own[0]] if len(own) == 1 else self.parts[own[0]] + self.parts[own[1]]
-        if len(self.parts) > CACHED_WORDS:
+        if len(self.parts) > CACHED_PARTS:
             for part in new:
                 del self.parts[part]
 
