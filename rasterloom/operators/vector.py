@@ -45,7 +45,7 @@ def _ring(points: list) -> list[tuple[float, float]]:
 
 
 def ring_table(spark: SparkSession, own: list[list[tuple[float, float]]]) -> DataFrame:
-    return spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(own)], RING)
+    return spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r]) for i, r in enumerate(own)], RING)
 
 
 def inside(ring: Column, px: Column, py: Column) -> Column:
