@@ -68,6 +68,9 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no token for the bytes {missing[:5]}")
+        for t, i in ranks.items():
+            if len(t) > 1 and not any(ranks.get(t[:k], i) < i > ranks.get(t[k:], i) for k in range(1, len(t))):
+                raise ValueError(f"the token {t!r} joins no two earlier ones")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.open = {t[:n] for t in ranks for n in range(1, len(t))}  # what a longer token can begin with

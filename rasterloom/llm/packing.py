@@ -12,8 +12,10 @@ bounded whatever the input's size.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -32,6 +34,12 @@ TAIL = b".,;:!?"
 BYTES = 2 << 20
 
 
+@functools.lru_cache(maxsize=4096)
+def _ends_in_letter(char: str) -> bool:
+    """Whether what the normalizer makes of a character ends in a letter (a mark would run on into punctuation)."""
+    return unicodedata.normalize("NFC", char).lower()[-1].isalpha()
+
+
 class Words(dict):
     """Words to their little-endian uint32 ids, up to a bound.
 
@@ -47,7 +55,7 @@ class Words(dict):
         split, new = [], set()
         for w in fresh:
             core = w.rstrip(TAIL)
-            if core and len(core) < len(w) and (core[-1:].isalnum() or core.decode()[-1].isalpha()):
+            if core and len(core) < len(w) and (core[-1:].isalnum() or _ends_in_letter(core.decode()[-1])):
                 own = (core.lower() if core.isascii() else core, w[len(core) :])
             else:
                 own = (w.lower() if w.isascii() else w,)
