@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from ._shared import cut, resident, ship, slices
 
 LANES = 16
-CACHED_WORDS = 160_000
-CACHED_PARTS = 270_000
+CACHED_WORDS = 220_000
+CACHED_PARTS = 300_000
 TAIL = b".,;:!?"
 BYTES = 2 << 20
 
@@ -50,31 +50,42 @@ class Words(dict):
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.tokenizer, self.parts = tokenizer, {}
+        marks = [bytes([m]) for m in TAIL]
+        ids = tokenizer.encode_batch_fast([m.decode() for m in marks], add_special_tokens=False)
+        self.marks = {m: array("I", e.ids).tobytes() for m, e in zip(marks, ids, strict=True)}
 
     def learn(self, fresh: list[bytes]) -> None:
-        split, new = [], set()
+        parts, tokenize, added, other = self.parts, self.tokenizer.model.tokenize, [], []
         for w in fresh:
+            # most words: ASCII letters, which the normalizer lower-cases and the splitter leaves whole, and one mark at most
+            if w.isalpha():
+                core, tail = w.lower(), b""
+            elif w[:-1].isalpha() and w[-1:] in self.marks:
+                core, tail = w[:-1].lower(), self.marks[w[-1:]]
+            else:
+                other.append(w)
+                continue
+            ids = parts.get(core)
+            if ids is None:
+                ids = parts[core] = array("I", [t.id for t in tokenize(core.decode())]).tobytes()
+                added.append(core)
+            self[w] = ids + tail
+        split, new = [], set()
+        for w in other:
             core = w.rstrip(TAIL)
             if core and len(core) < len(w) and (core[-1:].isalnum() or _ends_in_letter(core.decode()[-1])):
-                own = (core.lower() if core.isascii() else core, w[len(core) :])
-            else:
-                own = (w.lower() if w.isascii() else w,)
-            split.append(own)
-            new.update(own)
-        new -= self.parts.keys()
-        model, whole = self.tokenizer.model, []
-        for part in new:
-            if part.isalpha():  # ASCII letters: what the normalizer and the splitter leave as it is
-                self.parts[part] = array("I", [t.id for t in model.tokenize(part.decode())]).tobytes()
+                split.append((core, w[len(core) :]))
             else:
-                whole.append(part)
+                split.append((w, b""))
+            new.update(split[-1])
+        whole = [x for x in new if x not in parts]
         for part, e in zip(whole, self.tokenizer.encode_batch_fast([x.decode() for x in whole], add_special_tokens=False), strict=True):
-            self.parts[part] = array("I", e.ids).tobytes()
-        for w, own in zip(fresh, split, strict=True):
-            self[w] = self.parts[own[0]] if len(own) == 1 else self.parts[own[0]] + self.parts[own[1]]
-        if len(self.parts) > CACHED_PARTS:
-            for part in new:
-                del self.parts[part]
+            parts[part] = array("I", e.ids).tobytes()
+        for w, (core, tail) in zip(other, split, strict=True):
+            self[w] = parts[core] + parts[tail]
+        if len(parts) > CACHED_PARTS:
+            for part in (*added, *whole):
+                del parts[part]
 
 
 def _words(data: bytes) -> Words:
