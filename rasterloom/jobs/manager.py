@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import queue
 import sqlite3
 import threading
 import time
@@ -19,6 +18,7 @@ from ..errors import GraphError
 from ..model import Cube
 from ..plans import executor
 from ..sinks.result import Result, manifest
+from ..streaming.events import EventBus
 from .provenance import record
 
 SLOTS = 16
@@ -91,30 +91,6 @@ class Store:
             self.db.commit()
 
 
-class EventBus:
-    """Events to every subscriber; one that lags behind loses its oldest."""
-
-    def __init__(self, size: int = 256) -> None:
-        self.size, self.queues = size, []
-
-    def subscribe(self) -> queue.Queue:
-        q: queue.Queue = queue.Queue(self.size)
-        self.queues.append(q)
-        return q
-
-    def publish(self, event: dict) -> None:
-        for q in self.queues:
-            while True:
-                try:
-                    q.put_nowait(event)
-                    break
-                except queue.Full:
-                    try:
-                        q.get_nowait()
-                    except queue.Empty:
-                        pass
-
-
 class JobManager:
     def __init__(self, spark: SparkSession, loader: Callable[..., Cube], out: str, store: Store | None = None) -> None:
         self.spark, self.loader, self.out, self.store, self.bus = spark, loader, out.rstrip("/"), store or Store(), EventBus()
