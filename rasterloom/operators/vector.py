@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from ..model import Cube
 from ..plans.callback import REDUCERS, aggregate_reducer, nodes_of
 
 RING = "id int, ring array<struct<x:double,y:double>>"
-BROADCAST_POINTS = 1_000_000  # vertices or points that are broadcast; beyond, the join is left to the planner
+MAX_CELLS = 100_000  # in the list of cells that rings touch
+MAX_VERTICES = 1_000_000  # that are broadcast; beyond, the joins are left to the planner
 
 
 def rings(geometry: object) -> list[list[tuple[float, float]]]:
@@ -61,15 +64,32 @@ def inside(ring: Column, px: Column, py: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + crosses(i)) % 2 == 1
 
 
-def in_rings(pixels: DataFrame, table: DataFrame, vertices: int) -> DataFrame:
-    """Each pixel with each ring (in pixel space) that holds its centre; the ring's bounds decide first."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    bounded = table.select("id", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    if vertices <= BROADCAST_POINTS:
-        bounded = F.broadcast(bounded)
+def in_rings(pixels: DataFrame, own: list[list[tuple[float, float]]]) -> DataFrame:
+    """Each pixel with the number (``id``) of each ring, in pixel space, that holds its centre.
+
+    Rings are listed by the coarse cells that their bounds touch, so pixels find them by an equi-join on the cell; the cells
+    are as large as it takes to keep that list short. Rings come with the request, so both tables are bounded by it.
+    """
+    spark = pixels.sparkSession
+    bounds = [(min(x for x, _ in r), max(x for x, _ in r), min(y for _, y in r), max(y for _, y in r)) for r in own]
+    side = 64
+    while sum((math.floor(x1 / side) - math.floor(x0 / side) + 1) * (math.floor(y1 / side) - math.floor(y0 / side) + 1) for x0, x1, y0, y1 in bounds) > MAX_CELLS:
+        side *= 2
+    cells = [
+        (i, cy, cx, *(float(v) for v in box))
+        for i, box in enumerate(bounds)
+        for cy in range(math.floor(box[2] / side), math.floor(box[3] / side) + 1)
+        for cx in range(math.floor(box[0] / side), math.floor(box[1] / side) + 1)
+    ]
+    listed = spark.createDataFrame(cells, "id int, _cy int, _cx int, x0 double, x1 double, y0 double, y1 double")
+    rings_by_id = ring_table(spark, own)
+    if sum(map(len, own)) <= MAX_VERTICES:
+        listed, rings_by_id = F.broadcast(listed), F.broadcast(rings_by_id)
     cx, cy = F.col("x") + 0.5, F.col("y") + 0.5
     near = (cx >= F.col("x0")) & (cx <= F.col("x1")) & (cy >= F.col("y0")) & (cy <= F.col("y1"))
-    return pixels.join(bounded, near).where(inside(F.col("ring"), cx, cy)).drop("ring", "x0", "x1", "y0", "y1")
+    placed = pixels.withColumns({"_cy": F.floor(cy / side).cast("int"), "_cx": F.floor(cx / side).cast("int")})
+    found = placed.join(listed, ["_cy", "_cx"]).where(near).join(rings_by_id, "id").where(inside(F.col("ring"), cx, cy))
+    return found.drop("ring", "x0", "x1", "y0", "y1", "_cy", "_cx")
 
 
 def to_pixels(own: list[list[tuple[float, float]]], cube: Cube, crs: object = 4326) -> list[list[tuple[float, float]]]:
@@ -85,7 +105,7 @@ def _over(cube: Cube, own: list[list[tuple[float, float]]], value: Column) -> tu
     table = ring_table(spark, own)
     scene = F.lit(0).alias("scene") if cube.base.timeless else F.col("scene")
     pixels = frame.select(scene, "y", "x", value.alias("v"))
-    return in_rings(pixels, table, sum(map(len, own))), table.select(F.col("id").alias("geometry"))
+    return in_rings(pixels, own), table.select(F.col("id").alias("geometry"))
 
 
 def aggregate_spatial(cube: Cube, geometries: object, reducer: object, crs: object = 4326) -> DataFrame:
@@ -130,7 +150,7 @@ def sample(cube: Cube, at: DataFrame) -> DataFrame:
 def rasterize(spark: SparkSession, own: list[list[tuple[float, float]]], rows: int, cols: int, burn: list[float] | None = None) -> DataFrame:
     """y, x, v over a grid: the value of the last ring (in pixel space) that holds the pixel's centre, else 0."""
     grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("y"), (F.col("id") % cols).cast("int").alias("x"))
-    found = in_rings(grid, ring_table(spark, own), sum(map(len, own))).groupBy("y", "x").agg(F.max("id").alias("id"))
+    found = in_rings(grid, own).groupBy("y", "x").agg(F.max("id").alias("id"))
     values = F.array(*(F.lit(float(v)) for v in (burn or [1.0] * len(own))))
     return grid.join(found, ["y", "x"], "left").select("y", "x", F.coalesce(F.get(values, F.col("id")), F.lit(0.0)).alias("v"))
 

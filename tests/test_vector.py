@@ -41,7 +41,7 @@ def test_rings():
 
 def test_neighbours_share_no_pixel(spark):
     left, right = [(0, 0), (2, 0), (2, 4), (0, 4)], [(2, 0), (4, 0), (4, 4), (2, 4)]
-    out = V.in_rings(raster(spark, SIXTEEN).frame(), V.ring_table(spark, [left, right]), 8)
+    out = V.in_rings(raster(spark, SIXTEEN).frame(), [left, right])
     assert out.count() == 16 and out.groupBy("id").count().count() == 2
 
 
