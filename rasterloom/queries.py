@@ -449,7 +449,17 @@ def _(spark, d):
     return R.zonal_histogram(FL.filter_bands(cube, ["B04"]), M.mask_from_values(cube, "SCL", [4, 5, 6]))
 
 
-@query("resample_spatial")
+def _resample_sql() -> str:
+    """Target pixels with the source pixel that their centre falls in; the grid comes from the same rule as the operator's."""
+    shape = Cube(Base(None), {}, transform=(0.0, 1.0, 0.0, float(GRID), 0.0, -1.0), shape=(GRID, GRID))
+    (x0, dx, _, y0, _, dy), (rows, cols) = RS.target_grid(shape, 3857)
+    lon, lat = f"(((tx + 0.5) * {dx!r}::double + {x0!r}::double) * 180 / pi() / 6378137.0)", f"(atan(sinh(((ty + 0.5) * {dy!r}::double + {y0!r}::double) / 6378137.0)) * 180 / pi())"
+    grid = f"select cast(a.v as int) as ty, cast(b.v as int) as tx from (select unnest(range({rows})) as v) a, (select unnest(range({cols})) as v) b"
+    target = f"select ty, tx, cast(floor({lon}) as int) as x, cast(floor({GRID} - {lat}) as int) as y from ({grid})"
+    return f'select c.scene, k.ty as y, k.tx as x, c.b04 as "B04" from c join ({target}) k on k.x = c.x and k.y = c.y'
+
+
+@query("resample_spatial", _resample_sql())
 def _(spark, d):
     return _rows(RS.resample_spatial(FL.filter_bands(_cube(spark, d), ["B04"]), "EPSG:3857"))
 
@@ -556,11 +566,22 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").agg(F.round(ml.accuracy(ml.predict(_MODEL, x), F.col("label") % 2), 6).alias("accuracy"))
 
 
-@query("fit_classifier")
+def _fit_sql(iterations: int, lr: float = 0.05) -> str:
+    """One common table for each step of the descent."""
+    parts = ["with r as (select cast(embedding[1] as double) as a, cast(embedding[2] as double) as b, cast(embedding[3] as double) as c, label % 2 as y from embeddings)", "s0 as (select 0.0::double as wa, 0.0::double as wb, 0.0::double as wc, 0.0::double as bias)"]
+    for k in range(iterations):
+        miss = "(1 / (1 + exp(-(wa * a + wb * b + wc * c + bias))) - y)"
+        steps = ", ".join(f"any_value(w{v}) - {lr} * avg({miss} * {v}) as w{v}" for v in "abc")
+        parts.append(f"s{k + 1} as (select {steps}, any_value(bias) - {lr} * avg({miss}) as bias from r, s{k})")
+    values = " union all ".join(f"select {i} as place, round({n}, 9) as value from s{iterations}" for i, n in enumerate(("wa", "wb", "wc", "bias")))
+    return ", ".join(parts) + " " + values
+
+
+@query("fit_classifier", _fit_sql(5))
 def _(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.slice("embedding", 1, 3).alias("x"), (F.col("label") % 2).alias("y"))
     model = ml.fit_frame(rows, iterations=5)
-    return spark.createDataFrame([(i, w) for i, w in enumerate([*model["weights"], model["bias"]])], "place int, value double")
+    return spark.createDataFrame([(i, round(w, 9)) for i, w in enumerate([*model["weights"], model["bias"]])], "place int, value double")
 
 
 # ---- catalogue, ETL, graphs ----
