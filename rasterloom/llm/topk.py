@@ -46,7 +46,7 @@ def _packer(scale: int, rows_in_block: int, keyed: bool):
             for i, v, key in zip(b.column("id").to_pylist(), b.column("v"), keys, strict=True):
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 x = np.floor(x * scale)
-                if np.abs(x, out=None).max(initial=0) > LIMIT:
+                if np.abs(x).max(initial=0) > LIMIT:
                     raise ValueError(f"a component of {i} is beyond {LIMIT}")
                 own = held.setdefault((len(x), key), [])
                 own.append((i, x.astype(np.int32)))
@@ -151,14 +151,15 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_
     keyed = wanted.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).alias("key"))
     asked = keyed.repartition("key").mapInArrow(_packer(scale, QUERIES, True), _BLOCK)
     plain = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.lit(0).cast("long").alias("key"))
-    held = plain.repartition(max(1, -(-n_rows // CANDIDATES))).mapInArrow(_packer(scale, CANDIDATES, False), _BLOCK)
+    most = max(64, 8 * vectors.sparkSession.sparkContext.defaultParallelism)  # tasks; one takes several blocks beyond
+    held = plain.repartition(min(most, max(1, -(-n_rows // CANDIDATES)))).mapInArrow(_packer(scale, CANDIDATES, False), _BLOCK)
     numbered = held.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(n_cells)).cast("long"))
     columns = ["width", "query_block", "cell", "kind", "ids", "data"]
     # the stated queries against all rows, in blocks: every query block goes to every cell, every candidate block to each query block
     left = asked.withColumnRenamed("block", "query_block").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells - 1).cast("long")))).withColumn("kind", F.lit(0))
     right = numbered.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).withColumn("kind", F.lit(1))
     both = left.select(*columns).unionByName(right.select(*columns))
-    both = both.repartition(n_blocks * n_cells, "width", "query_block", "cell").sortWithinPartitions("width", "query_block", "cell", "kind")
+    both = both.repartition(min(most, n_blocks * n_cells), "width", "query_block", "cell").sortWithinPartitions("width", "query_block", "cell", "kind")
     local = both.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
