@@ -21,8 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that they import it wherever they run."""
+    """Send this package to the Python workers once per application, so that they import it wherever they run.
+
+    Arrow batches of the session are held to 8 MB, unless it sets a bound of its own: rows here are whole texts.
+    """
+    if spark.conf.get(BATCH, None) in (None, "67108864b"):  # Spark's default
+        spark.conf.set(BATCH, "8m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -95,6 +95,7 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 def _count(codes: dict[str, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums = np.zeros((len(codes), BINS), np.int64)
         for b in batches:
             label = np.array([codes[x] for x in b.column("label").to_pylist()], np.int64)

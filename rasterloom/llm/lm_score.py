@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ._shared import cut, ship, slices
 
-BYTES = 6 << 20  # text in a chunk
+BYTES = 8 << 20  # text in a chunk
 ORDER = 2
 BACKOFF = 0.4
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import cut, ship
+from ._shared import cut, release, ship
 from .components import connected_components
 
 CELL = 2048
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             made = np.array([fingerprint(t.as_py(), words, seed) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made.view(np.int64))], ["id", "fp"])
