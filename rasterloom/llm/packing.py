@@ -31,7 +31,7 @@ LANES = 16
 CACHED_WORDS = 220_000
 CACHED_PARTS = 300_000
 TAIL = b".,;:!?"
-BYTES = 2 << 20
+BYTES = 4 << 20
 
 
 @functools.lru_cache(maxsize=4096)
@@ -55,21 +55,18 @@ class Words(dict):
         self.marks = {m: array("I", e.ids).tobytes() for m, e in zip(marks, ids, strict=True)}
 
     def learn(self, fresh: list[bytes]) -> None:
-        parts, tokenize, added, other = self.parts, self.tokenizer.model.tokenize, [], []
-        for w in fresh:
-            # most words: ASCII letters, which the normalizer lower-cases and the splitter leaves whole, and one mark at most
-            if w.isalpha():
-                core, tail = w.lower(), b""
-            elif w[:-1].isalpha() and w[-1:] in self.marks:
-                core, tail = w[:-1].lower(), self.marks[w[-1:]]
-            else:
-                other.append(w)
-                continue
-            ids = parts.get(core)
-            if ids is None:
-                ids = parts[core] = array("I", [t.id for t in tokenize(core.decode())]).tobytes()
-                added.append(core)
-            self[w] = ids + tail
+        # most words: ASCII letters, which the normalizer lower-cases and the splitter leaves whole, and one mark at most
+        plain = [w for w in fresh if w.isalpha()]
+        rest = [w for w in fresh if not w.isalpha()]
+        marked = [w for w in rest if w[-1:] in self.marks and w[:-1].isalpha()]
+        other = [w for w in rest if not (w[-1:] in self.marks and w[:-1].isalpha())]
+        parts, tokenize = self.parts, self.tokenizer.model.tokenize
+        cores, stems = [w.lower() for w in plain], [w[:-1].lower() for w in marked]
+        added = list({*cores, *stems} - parts.keys())
+        for core in added:
+            parts[core] = array("I", [t.id for t in tokenize(core.decode())]).tobytes()
+        self.update(zip(plain, map(parts.__getitem__, cores), strict=True))
+        self.update(zip(marked, [parts[core] + self.marks[w[-1:]] for w, core in zip(marked, stems, strict=True)], strict=True))
         split, new = [], set()
         for w in other:
             core = w.rstrip(TAIL)
