@@ -15,9 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long): the root is the smallest node reachable.
 
-    Every round is written to the shared folder, so lineage stays short and a lost executor costs a file read. Minima are
-    aggregated map-side and the joins are plain equi-joins, which adaptive execution splits for a node with very many
-    edges. Self-loops make their node known; null ends are left out.
+    Every step is written to the shared folder, so lineage stays short and a lost executor costs a file read. Minima are
+    aggregated map-side. The joins have a written table on either side: then adaptive execution can split the rows of a node
+    with very many edges over tasks. Self-loops make their node known; null ends are left out.
     """
     now = cut(edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops, now_state = now.where("u = v").select(F.col("u").alias("node")), None
@@ -26,15 +26,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while now_state[0]:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nearest = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u and its smaller neighbours go to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         state = _state(after)
-        if now is not first:
-            discard(now)
+        for done in (nearest, large, least, *([now] if now is not first else [])):
+            discard(done)
         now, same = after, state == now_state
         now_state = state
         if same:

@@ -208,7 +208,8 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
     own = cut(fingerprints(docs, words, seed, id_col, text_col))
     nodes = own.groupBy("fp").agg(F.min("id").alias("least"))
     found = cut(connected_components(near_links(own, radius)))
-    named = found.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("name"))
+    # written, so that the join of one very large component can be split
+    named = cut(found.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("name")))
     names = found.join(named, "root").select(F.col("node").alias("fp"), "name")
     told = cut(nodes.join(names, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")))
     return own.join(told, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
