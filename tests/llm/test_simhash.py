@@ -92,3 +92,31 @@ def test_near_copies_are_dropped(spark):
     assert got - {None} == {i for i, root in want.items() if i == root} and None in got
     assert kept.columns == clashing(more).columns and N.drop_near_copies(empty(docs)).count() == 0
     assert len(copies) > 5 and not got & {c[0] for c in copies}
+
+
+def swapped(words, places):
+    """The words with others at the places: each takes part in five shingles."""
+    return " ".join(f"{w}x{p}" if (p := places.get(k)) else w for k, w in enumerate(words))
+
+
+def left(spark, texts):
+    return {r["doc_id"] for r in N.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def brute_left(texts):
+    sets = {i: set(N.shingles(t, 5).tolist()) for i, t in enumerate(texts)}
+    roots = components(sets, lambda a, b: bool(a) and len(a & b) >= 0.8 * len(a | b))
+    return {i for i, root in roots.items() if i == root}
+
+
+def test_bridges_between_tight_groups_are_found(spark, monkeypatch):
+    rng, texts = np.random.default_rng(1), []
+    for g in range(12):
+        base = [f"w{g}q{k}" for k in range(204)]
+        for far in (0, 1):  # 200 shingles; the groups differ in 4 words, and members in one more or none
+            places = {20 * (k + 1): "f" for k in range(4)} if far else {}
+            texts += [swapped(base, places | {int(rng.integers(110, 200)): f"m{far}{c}"}) for c in range(12)] + [swapped(base, places)]
+    want = brute_left(texts)
+    assert left(spark, texts) == want and len(want) == 12
+    monkeypatch.setattr(N, "CELL", 5)  # blocks in parts lose nothing
+    assert left(spark, texts) == want
