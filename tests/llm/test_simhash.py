@@ -120,3 +120,11 @@ def test_bridges_between_tight_groups_are_found(spark, monkeypatch):
     assert left(spark, texts) == want and len(want) == 12
     monkeypatch.setattr(N, "CELL", 5)  # blocks in parts lose nothing
     assert left(spark, texts) == want
+
+
+def test_how_often_a_passage_repeats_does_not_matter(spark):
+    texts = []
+    for g in range(20):
+        words, passage = [f"a{g}b{k}" for k in range(254)], " ".join(f"p{g}r{k}" for k in range(54))
+        texts += [" ".join(words) + " " + " ".join([passage] * n) for n in (1, 20)]
+    assert brute_left(texts) == left(spark, texts) == set(range(0, 40, 2))
