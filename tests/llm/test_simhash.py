@@ -128,3 +128,15 @@ def test_how_often_a_passage_repeats_does_not_matter(spark):
         words, passage = [f"a{g}b{k}" for k in range(254)], " ".join(f"p{g}r{k}" for k in range(54))
         texts += [" ".join(words) + " " + " ".join([passage] * n) for n in (1, 20)]
     assert brute_left(texts) == left(spark, texts) == set(range(0, 40, 2))
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    texts = []
+    for g in range(150):  # 4 of 5 shingles shared: a text of 8 words, and the same with one more
+        short = [f"s{g}t{k}" for k in range(9)]
+        texts += [" ".join(short[:8]), " ".join(short)]
+    for g in range(150):  # 80 of 100 shingles shared
+        words = [f"l{g}m{k}" for k in range(94)]
+        texts += [" ".join(words), " ".join(words + [f"l{g}n{k}" for k in range(10)]), " ".join([f"l{g}o{k}" for k in range(12)] + words)]
+    want = brute_left(texts)
+    assert left(spark, texts) == want and len(want) < len(texts) - 250
