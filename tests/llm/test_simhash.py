@@ -140,3 +140,11 @@ def test_pairs_at_the_threshold_are_found(spark):
         texts += [" ".join(words), " ".join(words + [f"l{g}n{k}" for k in range(10)]), " ".join([f"l{g}o{k}" for k in range(12)] + words)]
     want = brute_left(texts)
     assert left(spark, texts) == want and len(want) < len(texts) - 250
+
+
+def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
+    one, two, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, one), (1, other), (1, other), (2, one + " end"), (3, two), (3, two + " end"), (None, two), (4, other + " end"), (5, one.upper())]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in N.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r for r in got if r[0] != 3] == [(0, two), (1, one), (1, other), (1, other)]
+    assert sum(r[0] == 3 for r in got) == 1  # of near copies with one id, one stays
