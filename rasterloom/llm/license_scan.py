@@ -1,10 +1,11 @@
 """License scans in DataFrame operations only.
 
 Two things are looked for. Phrases: every place where a phrase's words stand consecutively. Templates: an exact set-similarity
-join of text blocks (sentences and lines) with license templates, by containment. Tokens are ordered by their document
+join of text blocks with license templates, by containment. A block is a run of consecutive lines and sentences: it may begin and
+end in the middle of a notice's line, and those between hold fewer words than the template, so that a wrapped notice is whole. Tokens are ordered by their document
 frequency over all documents, rarest first; two sets that share ``need`` tokens share one within the first
-size - need + 1 of either (prefix filter), a block must have ``need`` template tokens (length filter), and the tokens left
-after the first shared one must suffice (positional filter); what remains is verified by intersection.
+size - need + 1 of the template (prefix filter), a block must have ``need`` tokens (length filter); what remains is verified
+by intersection.
 
 The template side is a fixed table, so it is joined inside the row as a literal index: no shuffle, and no group that can grow
 hot. Tokens outside the templates can match nothing; counting them as rarest leaves them out of every prefix.
@@ -63,13 +64,13 @@ def document_frequency(docs: DataFrame, tokens: list[str], text_col: str = "text
 
 def _index(templates: list[tuple[str, str]], least: float, frequency: dict[str, int]) -> tuple[list[str], list[dict]]:
     """Tokens, rarest first, and each template's sets as positions in that order."""
-    sets = [(label, set(_tokens(text))) for label, text in templates]
-    order = sorted(set().union(*(s for _, s in sets)), key=lambda t: (frequency.get(t, 0), t))
+    sets = [(label, set(own), len(own)) for label, text in templates if (own := _tokens(text))]
+    order = sorted(set().union(*(s for _, s, _ in sets)), key=lambda t: (frequency.get(t, 0), t))
     place = {t: i for i, t in enumerate(order)}
     out = []
-    for label, own in sets:
+    for label, own, words in sets:
         need = math.ceil(least * len(own) - 1e-9)
-        out.append({"label": label, "need": need, "ids": (ids := sorted(place[t] for t in own)), "prefix": ids[: len(ids) - need + 1]})
+        out.append({"label": label, "words": words, "need": need, "ids": (ids := sorted(place[t] for t in own)), "prefix": ids[: len(ids) - need + 1]})
     return order, out
 
 
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     """``docs`` with n_words, places and matches in place of the text.
 
     places: array of (label, start), every place of every phrase, words from 0. matches: array of (label, share), one for
-    each block and template of which the block holds a share of ``least`` or more of the different words.
+    each run and template of which the run holds a share of ``least`` or more of the different words.
     A null text is empty: no words, no places, no matches. Rows stay as they are, repeated ones too; columns of the three
     names are replaced, and names starting with an underscore are taken.
     """
@@ -105,29 +106,35 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     all_places = F.concat(*[F.coalesce(places(p, label), empty) for p, label in phrases.items()])
 
     rank = F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i)])
-    side = F.array(*[F.struct(F.lit(t["label"]).alias("label"), F.lit(t["need"]).alias("need"), F.array(*map(F.lit, t["ids"])).alias("ids"), F.array(*map(F.lit, t["prefix"])).alias("prefix")) for t in index])
     first_tokens = F.array(*[F.lit(order[i]) for i in sorted({i for t in index for i in t["prefix"]})])
-    blocks = F.transform(F.split("_text", BLOCK_END), lambda b: F.array_distinct(F.split(spaced(lowered(b)), " ")))
-    with_one = F.filter(blocks, lambda b: F.arrays_overlap(b, first_tokens))
-    known = F.transform(with_one, lambda b: F.array_sort(F.filter(F.transform(b, lambda w: rank[w]), lambda i: i.isNotNull())))
-
-    def similar(ids: Column) -> Column:
-        def passes(t: Column) -> Column:
-            shares = F.exists(
-                F.sequence(F.lit(0), F.size(t["prefix"]) - 1),
-                lambda i: (
-                    # the place of the template's i-th token in the block, from 1; 0 if it is not there
-                    (F.array_position(ids, F.get(t["prefix"], i)) > 0)
-                    & (F.array_position(ids, F.get(t["prefix"], i)) <= F.size(ids) - t["need"] + 1)
-                    & (1 + F.least((F.size(t["ids"]) - i - 1).cast("long"), F.size(ids) - F.array_position(ids, F.get(t["prefix"], i))) >= t["need"])
-                ),
-            )
-            return (F.size(ids) >= t["need"]) & shares & (F.size(F.array_intersect(ids, t["ids"])) >= t["need"])
-
-        return F.transform(F.filter(side, passes), lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(ids, t["ids"])) / F.size(t["ids"])).alias("share")))
-
-    matches = F.when(F.arrays_overlap("_words", first_tokens), F.flatten(F.transform("_known", similar)))
-    rows = rows.withColumn("_known", F.when(F.arrays_overlap("_words", first_tokens), known))
+    longest = max(len(_tokens(t)) for _, t in templates)
+    first_ids = F.array(*map(F.lit, sorted({i for t in index for i in t["prefix"]})))
+
+    def piece(b: Column) -> Column:
+        words = F.split(spaced(lowered(b)), " ")
+        return F.struct(F.size(words).alias("n"), F.filter(F.transform(F.array_distinct(words), lambda w: rank[w]), lambda i: i.isNotNull()).alias("ids"))
+
+    pieces = F.transform(F.filter(F.split("_text", BLOCK_END), lambda b: spaced(b) != ""), piece)
+    state = "struct<n:int,parts:array<struct<before:int,ids:array<int>>>>"
+
+    def run(k: Column) -> Column:
+        """The k-th piece and those after it, each with the words between."""
+        start = F.struct(F.lit(0).alias("n"), F.array(F.struct(F.lit(-1).alias("before"), F.get("_pieces", k)["ids"].alias("ids"))).alias("parts")).cast(state)
+        more = lambda s, p: F.struct((s["n"] + p["n"]).alias("n"), F.concat(s["parts"], F.array(F.struct(s["n"].alias("before"), p["ids"].alias("ids")))).alias("parts")).cast(state)
+        return F.aggregate(F.slice("_pieces", k + 2, longest), start, more, lambda s: s["parts"])
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("_pieces") - 1), lambda k: F.size(F.get("_pieces", k)["ids"]) > 0)
+    runs = F.filter(F.transform(starts, run), lambda r: F.arrays_overlap(F.flatten(F.transform(r, lambda p: p["ids"])), first_ids))
+
+    def similar(t: dict) -> Column:
+        ids, own = F.array(*map(F.lit, t["ids"])), F.array(*map(F.lit, t["prefix"]))
+        near = F.transform("_runs", lambda r: F.array_distinct(F.flatten(F.transform(F.filter(r, lambda p: p["before"] <= t["words"] - 2), lambda p: p["ids"]))))
+        shared = F.transform(F.filter(near, lambda r: (F.size(r) >= t["need"]) & F.arrays_overlap(r, own)), lambda r: F.size(F.array_intersect(r, ids)))
+        return F.transform(F.filter(shared, lambda n: n >= t["need"]), lambda n: F.struct(F.lit(t["label"]).alias("label"), (n / len(t["ids"])).alias("share")))
+
+    hot = F.arrays_overlap("_words", first_tokens)
+    matches = F.when(hot, F.concat(*map(similar, index)))
+    rows = rows.withColumn("_pieces", F.when(hot, pieces)).withColumn("_runs", F.when(hot & (F.size("_pieces") > 0), runs))
     return rows.select(*others, F.size("_words").cast("long").alias("n_words"), all_places.alias("places"), F.coalesce(matches, F.array().cast("array<struct<label:string,share:double>>")).alias("matches"))
 
 

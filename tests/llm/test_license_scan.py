@@ -50,3 +50,15 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert S.op3_license_scan(empty(documents(spark, 5))).count() == 0
+
+
+def test_templates_are_found_in_their_own_text_plain_and_wrapped(spark):
+    texts, want = [], []
+    for label, template in S.TEMPLATES:
+        w = template.split()
+        for width in (len(w), 13, 8, 3):
+            lines = "\n".join(" ".join(w[k : k + width]) for k in range(0, len(w), width))
+            texts += [lines, f"# Some words before. {lines}\nand words after"]
+            want += [label] * 2
+    got = S.op3_license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r["doc_id"], texts[r["doc_id"]]) for r in got if want[r["doc_id"]] not in r["labels"].split(",")] == [] and len(got) == len(texts)
