@@ -18,6 +18,7 @@ from . import encode
 # Format names and what they mean; NetCDF results are TIFF bytes, and names not listed are GTIFF.
 FORMATS = {"GTIFF": "GTIFF", "TIFF": "GTIFF", "GEOTIFF": "GTIFF", "COG": "GTIFF", "NETCDF": "GTIFF", "NC": "GTIFF", "PNG": "PNG", "JSON": "JSON", "PARQUET": "PARQUET"}
 MAX_PIXELS = 64_000_000  # of a raster that becomes bytes on the driver; larger ones are written as tables of tiles
+MAX_ROWS = 1_000_000  # of a table that becomes JSON on the driver
 
 
 @dataclass
@@ -54,7 +55,10 @@ class Result:
             values = grid(self.data)
             return {"band": self.data.primary, "shape": list(values.shape), "values": [[None if np.isnan(v) else float(v) for v in row] for row in values]}
         if isinstance(self.data, DataFrame):
-            return [r.asDict(recursive=True) for r in self.data.limit(1_000_000).collect()]
+            rows = self.data.limit(MAX_ROWS + 1).collect()
+            if len(rows) > MAX_ROWS:
+                raise BackendError(f"more than {MAX_ROWS} rows are too many for one file; save as PARQUET")
+            return [r.asDict(recursive=True) for r in rows]
         return self.data
 
     def write(self, path: str) -> str:

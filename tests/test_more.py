@@ -92,3 +92,13 @@ def test_command_line(tmp_path, capsys):
     path.write_text(json.dumps({"process_graph": {"a": {"process_id": "ad", "arguments": {}, "result": True}}}))
     assert main(["validate", str(path)]) == 1 and "did you mean add" in capsys.readouterr().out
     assert main(["processes"]) == 0 and len(json.loads(capsys.readouterr().out)) == 68
+
+
+def test_json_of_too_many_rows_is_an_error(spark, monkeypatch):
+    from rasterloom.errors import BackendError
+    from rasterloom.sinks import result
+
+    monkeypatch.setattr(result, "MAX_ROWS", 3, raising=False)
+    assert len(json.loads(result.Result.of(spark.range(3), "JSON").to_bytes())) == 3
+    with pytest.raises(BackendError):
+        result.Result.of(spark.range(4), "JSON").to_bytes()
