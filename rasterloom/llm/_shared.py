@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +52,28 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spare(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those ``wanted`` that none of ``columns`` has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        own = next(n for k in itertools.count() if (n := f"_{name}{k or ''}").lower() not in taken)
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-")
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset a local master gets a temporary folder; on a cluster that would be a folder of one machine, so it is an error.
+    """
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        held = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="rasterloom-")
+    return held
 
 
 def cut(df: DataFrame) -> DataFrame:

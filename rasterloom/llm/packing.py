@@ -1,7 +1,7 @@
 """Packing: shortest-pack-first over the length histogram.
 
 Documents become token ids once, are cut into pieces of at most ``capacity`` ids, and only the histogram of piece lengths
-(``capacity`` * ``LANES`` counts at most) reaches the driver. There lengths are placed longest first into the packs with
+(at most ``capacity`` counts, and one more for each ``LANE`` rows) reaches the driver. There lengths are placed longest first into the packs with
 the most room, whole counts at a time, so the work depends on the number of lengths, not of documents. A pattern is a
 list of (length, times); pieces join their place by rank: the k-th piece of a length takes the k-th place of that length.
 
@@ -12,11 +12,7 @@ bounded whatever the input's size.
 
 from __future__ import annotations
 
-import functools
 import heapq
-import os
-import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,83 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import cut, resident, ship, slices
+from ._shared import cut, resident, ship, slices, spare
+from .word_bpe import WordBPE
 
-LANES = 16
-CACHED_WORDS = 220_000
-CACHED_PARTS = 300_000
-TAIL = b".,;:!?"
-BYTES = 4 << 20
-
-
-@functools.lru_cache(maxsize=4096)
-def _ends_in_letter(char: str) -> bool:
-    """Whether what the normalizer makes of a character ends in a letter (a mark would run on into punctuation)."""
-    return unicodedata.normalize("NFC", char).lower()[-1].isalpha()
-
-
-class Words(dict):
-    """Words to their little-endian uint32 ids, up to a bound.
-
-    Words are the stretches between ASCII white space, which this kind of tokenizer (lower case, white space dropped, no merge
-    across it) handles one by one; so it does a run of punctuation after a letter. What is new goes through the library.
-    """
-
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer, self.parts = tokenizer, {}
-        marks = [bytes([m]) for m in TAIL]
-        ids = tokenizer.encode_batch_fast([m.decode() for m in marks], add_special_tokens=False)
-        self.marks = {m: array("I", e.ids).tobytes() for m, e in zip(marks, ids, strict=True)}
-
-    def learn(self, fresh: list[bytes]) -> None:
-        # most words: ASCII letters, which the normalizer lower-cases and the splitter leaves whole, and one mark at most
-        plain = [w for w in fresh if w.isalpha()]
-        rest = [w for w in fresh if not w.isalpha()]
-        marked = [w for w in rest if w[-1:] in self.marks and w[:-1].isalpha()]
-        other = [w for w in rest if not (w[-1:] in self.marks and w[:-1].isalpha())]
-        parts, tokenize = self.parts, self.tokenizer.model.tokenize
-        cores, stems = [w.lower() for w in plain], [w[:-1].lower() for w in marked]
-        added = list({*cores, *stems} - parts.keys())
-        for core in added:
-            parts[core] = array("I", [t.id for t in tokenize(core.decode())]).tobytes()
-        self.update(zip(plain, map(parts.__getitem__, cores), strict=True))
-        self.update(zip(marked, [parts[core] + self.marks[w[-1:]] for w, core in zip(marked, stems, strict=True)], strict=True))
-        split, new = [], set()
-        for w in other:
-            core = w.rstrip(TAIL)
-            if core and len(core) < len(w) and (core[-1:].isalnum() or _ends_in_letter(core.decode()[-1])):
-                split.append((core, w[len(core) :]))
-            else:
-                split.append((w, b""))
-            new.update(split[-1])
-        whole = [x for x in new if x not in parts]
-        for part, e in zip(whole, self.tokenizer.encode_batch_fast([x.decode() for x in whole], add_special_tokens=False), strict=True):
-            parts[part] = array("I", e.ids).tobytes()
-        for w, (core, tail) in zip(other, split, strict=True):
-            self[w] = parts[core] + parts[tail]
-        if len(parts) > CACHED_PARTS:
-            for part in (*added, *whole):
-                del parts[part]
-
-
-def _words(data: bytes) -> Words:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Words(Tokenizer.from_buffer(data))
-
-
-def word_ids(texts: list[str | None], known: Words) -> Iterator[bytes]:
-    """Little-endian uint32 ids of each text."""
-    split = [t.encode().split() if t else () for t in texts]
-    fresh = list(set().union(*split) - known.keys())
-    known.learn(fresh)
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
-    if len(known) > CACHED_WORDS:
-        for w in fresh:
-            del known[w]
+LANE = 1 << 20  # rows of one length that are ranked in one task, about
+BYTES = 8 << 20  # of text that is tokenized at a time
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,24 +41,19 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType
     schema = T.StructType().add(id_col, kind).add("start", "long").add("length", "integer").add("doc_tokens", "long").add("ids", "binary")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = resident(("words", hash(held.value)), lambda: _words(held.value))
+        known = resident(("words", hash(held.value)), lambda: WordBPE(held.value))
         for whole in batches:
             for b in slices(whole, "text", BYTES):
-                row, start, size, total, ids = [], [], [], [], []
-                for k, own in enumerate(word_ids(b.column("text").to_pylist(), known)):
-                    own += end
-                    n = len(own) // 4
-                    for at in range(0, n, capacity):
-                        row.append(k)
-                        start.append(at)
-                        size.append(min(capacity, n - at))
-                        total.append(n)
-                        ids.append(own[4 * at : 4 * (at + capacity)])
-                columns = [b.column("id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                ids, total = known.encode(b.column("text"), end_id)
+                many = -(-total // capacity)
+                row = np.repeat(np.arange(len(total)), many)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+                size = np.minimum(capacity, total[row] - start)
+                ends = pa.py_buffer(np.append(0, 4 * np.cumsum(size)))
+                bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, ends, pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(start), pa.array(size.astype(np.int32)), pa.array(total[row]), bytes_], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -208,27 +127,28 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length") ->
     spark = pieces.sparkSession
     ship(spark)
     pieces = pieces.drop("sequence_id", "offset")
-    rows = cut(pieces.withColumn("_lane", F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).cast("int")))
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy(length_col, "_lane").count().collect()}  # capacity * LANES at most
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}  # ranks of the lanes before
-    for length, lane in sorted(counts):
-        before[length, lane] = histogram.get(length, 0)
-        histogram[length] = before[length, lane] + counts[length, lane]
-    starts = np.zeros((capacity + 1) * LANES, np.int64)
-    for (length, lane), n in before.items():
-        starts[length * LANES + lane] = n
-    held = spark.sparkContext.broadcast((starts, *plan(histogram, capacity)))
-    order = [F.col(c) for c in pieces.columns if not isinstance(pieces.schema[c].dataType, T.MapType | T.VariantType)]
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_lane").orderBy(*order)) - F.lit(1).cast("long"))
     names = pieces.columns
+    seen, lanes, lane, rank = spare(names, "seen", "lanes", "lane", "rank")
+    rows = cut(pieces.withColumn(seen, F.monotonically_increasing_id()))
+    histogram = {r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}  # capacity rows at most
+    dealt = spark.createDataFrame([(length, -(-n // LANE)) for length, n in histogram.items()], f"{lanes}_of int, {lanes} int")
+    laned = rows.join(F.broadcast(dealt), F.col(length_col) == F.col(f"{lanes}_of")).withColumn(lane, F.pmod(F.xxhash64(seen), F.col(lanes)).cast("int")).drop(f"{lanes}_of", lanes)
+    counts = {(r[0], r[1]): r[2] for r in laned.groupBy(length_col, lane).count().collect()}  # a row for each LANE rows and length
+    first_lane, starts, before = np.zeros(capacity + 1, np.int64), [], 0
+    for length, n in sorted(histogram.items()):
+        first_lane[length], before = len(starts), 0
+        for k in range(-(-n // LANE)):
+            starts.append(before)  # ranks of the lanes before
+            before += counts.get((length, k), 0)
+    held = spark.sparkContext.broadcast((first_lane, np.array(starts, np.int64), *plan(histogram, capacity)))
+    ranked = laned.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, lane).orderBy(seen)) - F.lit(1).cast("long"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, keys, first, offset, times = held.value
+        first_lane, starts, keys, first, offset, times = held.value
         for b in batches:
             length = b.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            key = (length << 48) + b.column("_rank").to_numpy(zero_copy_only=False) + starts[length * LANES + b.column("_lane").to_numpy(zero_copy_only=False)]
+            key = (length << 48) + b.column(rank).to_numpy(zero_copy_only=False) + starts[first_lane[length] + b.column(lane).to_numpy(zero_copy_only=False)]
             at = np.searchsorted(keys, key, side="right") - 1
             beyond = key - keys[at]
             columns = [*(b.column(c) for c in names), pa.array(first[at] + beyond // times[at]), pa.array(offset[at] + beyond % times[at] * length)]

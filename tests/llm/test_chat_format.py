@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from hypothesis import given
@@ -30,12 +31,24 @@ def test_against_brute_force(spark):
     assert [r["conv_id"] for r in C.op4_chat_format(rows.where("false")).collect()] == [-7]
 
 
-@given(st.text(st.characters(exclude_categories=["Cs"])), st.text(st.characters(exclude_categories=["Cs"])))
+TEXT = st.text(st.characters(exclude_categories=["Cs"])) | st.text(st.sampled_from("\\\\</turn>\nx"))
+
+
+@given(TEXT, TEXT)
 def test_round_trip(role, text):
     piece, begin, end = C.render(role, text)
     assert C.parse(piece) == (role, text)
     assert C.unescape(piece[begin:end]) == (text if role == "assistant" else "")
-    assert piece.count("</turn>\n") - piece.count("\\</turn>\n") == 1
+
+
+@given(st.lists(st.tuples(TEXT, TEXT)))
+def test_turns_of_a_whole_conversation_are_told_apart(turns):
+    whole, at, got = "".join(C.render(*t)[0] for t in turns), 0, []
+    while at < len(whole):
+        end = next(m.end() for m in re.finditer(r"\\.|(</turn>\n)", whole[at:], re.DOTALL) if m.group(1)) + at  # the first unescaped mark
+        got.append(C.parse(whole[at:end]))
+        at = end
+    assert got == turns
 
 
 RECORDS = [

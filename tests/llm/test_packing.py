@@ -1,14 +1,19 @@
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.fixtures import clashing, documents, empty
 from tokenizers import Tokenizer
 
 from rasterloom.llm import packing as P
+from rasterloom.llm import word_bpe
+from rasterloom.llm.word_bpe import WordBPE
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,12 +50,44 @@ def test_repeated_rows_and_empty_tables(spark):
     assert P.op7_pack(empty(docs)).count() == 0
 
 
-@settings(deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cs"])) | st.sampled_from(["don't. x!!", "ABC., É.. a1, x.y", "a\x1cb\x85c\u2003d", "<|endoftext|> x", "e\u0301 \u0301a", "ΣΑΣ. İ."]))
-def test_word_by_word_is_the_library(text):
-    known = P.Words(TOKENIZER)
+CHARS = st.text(st.characters(exclude_categories=["Cs"]))
+PLAIN = st.text(st.sampled_from("abestABESTaaaÀÉßÿÞ×÷.,'!%# "))
+FILE = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+KEPT = WordBPE(FILE)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(CHARS | PLAIN | st.sampled_from(["don't. x!!", "ABC., É.. a1, x.y", "a\x1cb\x85c\u2003d", "<|endoftext|> x", "e\u0301 \u0301a", "ΣΑΣ. İ.", "aaaaaaaaaaa!!!!!!!", ""])))
+def test_together_is_the_library(texts):
+    assert KEPT.fast
     for _ in range(2):  # new, then kept
-        assert [np.frombuffer(x, "<u4").tolist() for x in P.word_ids([text, None], known)] == [ids_of(text)[:-1], []]
+        ids, size = KEPT.encode(pa.array([*texts, None], pa.string()), 2)
+        want = [ids_of(t) for t in [*texts, None]]
+        assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_more_words_than_are_kept(monkeypatch):
+    monkeypatch.setattr(word_bpe, "KNOWN", 4)
+    own = WordBPE(FILE)
+    for text in ("a b c", "c d e f g a", "g c\u0301 1 x.y", " a  g "):
+        assert own.encode(pa.array([text]), 2)[0].tolist() == ids_of(text)
+
+
+def test_other_files_go_through_the_library():
+    other = json.loads(FILE)
+    other["normalizer"] = None
+    own = WordBPE(json.dumps(other).encode())
+    assert not own.fast
+    assert own.encode(pa.array(["ab cd."]), 2)[0].tolist() == [*Tokenizer.from_str(json.dumps(other)).encode("ab cd.", add_special_tokens=False).ids, 2]
+
+
+def test_lanes(spark, monkeypatch):
+    monkeypatch.setattr(P, "LANE", 7)
+    pieces = spark.createDataFrame([(i, 1 + i % 3, "mine") for i in range(100)], "doc_id long, length int, _lane string").withColumn("_rank", F.lit("mine"))
+    got = P.pack(pieces, 8).collect()
+    assert len({r["doc_id"] for r in got}) == 100 and {(r["_lane"], r["_rank"]) for r in got} == {("mine", "mine")}
+    places = sorted((r["sequence_id"], at) for r in got for at in range(r["offset"], r["offset"] + r["length"]))
+    assert len(set(places)) == len(places) == 199 and all(at < 8 for _, at in places)
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200)), st.just(64))
