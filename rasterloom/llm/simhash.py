@@ -89,24 +89,29 @@ def linked(fps: np.ndarray, buckets: np.ndarray, radius: int) -> np.ndarray:
 
 
 def matches(fps: np.ndarray, buckets: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (a before b) of a bucket at ``radius`` or fewer differing bits, in blocks; ``buckets`` is sorted."""
+    """Pairs of rows (a before b) of a bucket at ``radius`` or fewer differing bits, in blocks; ``buckets`` is sorted.
+
+    ``fps`` has one word of 64 bits for each row, or a row of words.
+    """
+    fps = fps.reshape(len(fps), -1).T
+    bits, rows = 64 * len(fps), fps.shape[1]
     first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
-    size = np.diff(np.append(first, len(fps)))
-    rank = np.arange(len(fps)) - np.repeat(first, size)
+    size = np.diff(np.append(first, rows))
+    rank = np.arange(rows) - np.repeat(first, size)
     words = -(-size // 64)
     base = np.cumsum(words) - words
     row_word = np.repeat(base, size) + rank // 64
     lane = (rank % 64).astype(np.uint64)
     word_first = np.flatnonzero(np.concatenate(([True], row_word[1:] != row_word[:-1])))
-    word_size = np.diff(np.append(word_first, len(fps)))
+    word_size = np.diff(np.append(word_first, rows))
     valid = np.where(word_size == 64, ALL, (np.uint64(1) << word_size.astype(np.uint64) % np.uint64(64)) - np.uint64(1))
     # a task compares one row with a word of its bucket that holds later rows
     tasks = np.repeat(base + words, size) - row_word
     tasks[np.repeat(size, size) < 2] = 0
     ends = np.cumsum(tasks)
-    planes = [np.bitwise_or.reduceat(((fps >> np.uint64(p)) & np.uint64(1)) << lane, word_first) for p in range(64)] if ends[-1] else []
+    planes = [np.bitwise_or.reduceat(((fps[p // 64] >> np.uint64(p % 64)) & np.uint64(1)) << lane, word_first) for p in range(bits)] if ends[-1] else []
     at = 0
-    while at < len(fps):
+    while at < rows:
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TASKS, side="right")))
         n = tasks[at:upto]
         row = np.repeat(np.arange(at, upto), n)
@@ -118,13 +123,13 @@ def matches(fps: np.ndarray, buckets: np.ndarray, radius: int) -> Iterator[tuple
         counters = [np.zeros(len(row), np.uint64) for _ in range((radius + 1).bit_length())]
         over = ~valid[word]
         over[own] |= ALL >> (np.uint64(63) - lane[row[own]])  # itself and the rows before it
-        for k in range(64):
-            p = k % 4 * 16 + k // 4  # the blocks in turn: some of them are equal in any bucket
-            carry = planes[p][word] ^ (np.uint64(0) - ((fps[row] >> np.uint64(p)) & np.uint64(1)))
+        for k in range(bits):
+            p = k % 4 * (bits // 4) + k // 4  # the blocks in turn: some of them may be equal in any bucket
+            carry = planes[p][word] ^ (np.uint64(0) - ((fps[p // 64][row] >> np.uint64(p % 64)) & np.uint64(1)))
             for c, counter in enumerate(counters):  # carry-save: add one bit to 64 counters at once
                 counters[c], carry = counter ^ carry, counter & carry
             over = over | carry
-            if k % 4 == 3:
+            if k % 16 == 15 or (bits == 64 and k % 4 == 3):
                 out = over | _beyond(counters, radius)
                 keep = out != ALL
                 if not keep.all():  # abandon the words of which every lane exceeds the radius
