@@ -1,11 +1,13 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Vectors are packed into blocks of bounded size, and each block of queries meets each block of candidates once: both are dealt
-by (query block, candidate group), so no task gets more than a group and nothing is broadcast. In a candidate block each
-component has a list sorted by value, read from the top for a positive query component and from the bottom for a negative one.
-What has been read gives every candidate a lower bound (components unread: their list's worst contribution) and an upper
-bound (the list's present one). Reading stops when no candidate unseen, nor any but a few seen, can reach the k-th lower
-bound; the scores of those few are then resolved. The k-th score so far is carried to the next block of the group.
+Vectors are packed into blocks of bounded size. A cell holds some blocks of candidates, each sorted into lists once; the blocks
+of queries are dealt to every cell, and nothing is broadcast. In a block of candidates each component has a list sorted by
+value, read from the top for a positive query component and from the bottom for a negative one, all lists in step.
+
+What has been read bounds every candidate's score. The components that are not read yet give at most what stands at the front of
+their lists, and no more than the product of what is left of the two vectors' lengths; at least their lists' last
+entries, and the negative of that product. Reading stops as soon as the candidates that can still reach the k-th lower bound are
+fewer than half of a list's unread entries; the scores of those are then resolved. The k-th score so far is carried to the next block.
 """
 
 from __future__ import annotations
@@ -14,85 +16,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import ship
 
 CANDIDATES = 2048  # in a block
-GROUP = 8192  # candidates that a task takes for a query block
+GROUP = 32768  # candidates in a cell at most, about
 QUERIES = 256  # in a block
-LIMIT = 1 << 22  # the largest component: sums of products stay exact in float64 up to 512 components
+STEPS = 8  # of reading a block's lists
+EXACT = 1 << 62
 
-_BLOCK = "width int, block long, ids binary, data binary"
+_BLOCK = "width int, kind int, ids binary, data binary"
 
 
-def _packer(scale: int, rows_in_block: int, keyed: bool):
-    """Rows (id, v[, key]) to blocks of integer vectors of equal width; unusable vectors are left out."""
+def _packer(scale: int, rows_in_block: int, kind: int):
+    """Rows (id, v) to blocks of integer vectors of equal width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, list] = {}
 
-        def emit(key: tuple[int, int]) -> pa.RecordBatch:
-            width, block = key
-            ids, vectors = zip(*held.pop(key), strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([width], pa.int32()), pa.array([block], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(vectors, np.int32).tobytes()], pa.binary())],
-                ["width", "block", "ids", "data"],
-            )
+        def emit(width: int) -> pa.RecordBatch:
+            ids, vectors = zip(*held.pop(width), strict=True)
+            columns = [[width], [kind], [np.array(ids, np.int64).tobytes()], [np.array(vectors, np.int64).tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["width", "kind", "ids", "data"])
 
         for b in batches:
-            keys = b.column("key").to_pylist()
-            for i, v, key in zip(b.column("id").to_pylist(), b.column("v"), keys, strict=True):
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                x = np.floor(x * scale)
-                if np.abs(x).max(initial=0) > LIMIT:
-                    raise ValueError(f"a component of {i} is beyond {LIMIT}")
-                own = held.setdefault((len(x), key), [])
-                own.append((i, x.astype(np.int32)))
-                if not keyed and len(own) >= rows_in_block:
-                    yield emit((len(x), key))
-        for key in list(held):
-            yield emit(key)
+            for i, v in zip(b.column("id").to_pylist(), b.column("v"), strict=True):
+                x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+                if np.abs(x).max(initial=0) >= EXACT:
+                    raise OverflowError(f"a component of vector {i} does not fit a long")
+                own = held.setdefault(len(x), [])
+                own.append((i, x.astype(np.int64)))
+                if len(own) >= rows_in_block:
+                    yield emit(len(x))
+        for width in list(held):
+            yield emit(width)
 
     return run
 
 
-class _Lists:
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products; those that do not fit a long are an error."""
+    if not x.size or int(np.abs(x).max()) * int(np.abs(q).max(initial=0)) * len(q) < EXACT:
+        return x @ q
+    out = x.astype(object) @ q.astype(object)
+    if any(abs(s) >= 1 << 63 for s in out):
+        raise OverflowError("a score does not fit a long")
+    return out.astype(np.int64)
+
+
+class Lists:
     """The sorted lists of one block of candidates."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray) -> None:
-        both = np.unique(np.concatenate([ids[:, None], data.astype(np.int64)], axis=1), axis=0)  # rows that repeat count once
-        self.ids, self.x = both[:, 0], both[:, 1:].astype(np.float64)
-        self.order = np.argsort(-self.x, axis=0, kind="stable").T.copy()  # width x n: candidates, best first
-        self.values = np.take_along_axis(self.x.T, self.order, axis=1)
+        self.ids, self.x = ids, data
+        values = data.astype(np.float64).T
+        self.order = np.argsort(-values, axis=1, kind="stable").astype(np.int32)  # width x n: candidates, best first
+        self.values = np.take_along_axis(values, self.order, axis=1)
+        self.square = (values**2).sum(axis=0)
+        self.read = self.resolved = self.held = 0  # entries of the lists, candidates whose score was resolved, candidates
 
     def best(self, query_id: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the block's k best with a score of ``floor`` or more, ties to smaller ids."""
-        n = len(self.ids)
-        down = np.flatnonzero(q < 0)
-        used = np.flatnonzero(q)
-        order, gain = self.order[used], self.values[used] * q[used, None]
-        for row in np.flatnonzero(np.isin(used, down)):  # a negative component reads its list from the other end
-            order[row], gain[row] = order[row, ::-1].copy(), gain[row, ::-1].copy()
-        worst = gain[:, -1:]
-        among, depth = np.arange(n), n // 16
-        while 0 < depth < n and len(used):
-            seen, got = order[:, :depth].ravel(), gain[:, :depth]
-            low = worst.sum() + np.bincount(seen, (got - worst).ravel(), n)
-            low[self.ids == query_id] = -np.inf
-            bar = floor if n <= k else max(floor, float(np.partition(low, n - k)[n - k]))
-            front = gain[:, depth - 1 : depth]
-            if front.sum() < bar:  # candidates not seen at all are out
-                high = front.sum() + np.bincount(seen, (got - front).ravel(), n)
-                among = np.flatnonzero(high >= bar)
-                if len(among) <= max(4 * k, n // 8) or depth >= n // 2:
-                    break
-            depth *= 2
-        else:
-            among = np.arange(n)
-        among = among[self.ids[among] != query_id]
-        scores = self.x[among] @ q
+        n, used = len(self.ids), np.flatnonzero(q)
+        weight, up = q[used].astype(np.float64)[:, None], (q[used] > 0)[:, None]
+        worst = (weight * np.where(up, self.values[used, -1:], self.values[used, :1])).ravel()
+        got, square, left, lowest = np.zeros(n), np.zeros(n), np.full(n, (weight**2).sum()), np.full(n, worst.sum())
+        other, depth, seen = self.ids != query_id, 0, []
+        among = np.flatnonzero(other)
+        slack = 1e-9 * (np.abs(worst).sum() + np.abs(weight * np.where(up, self.values[used, :1], self.values[used, -1:])).sum()) + 1e-6
+        while len(used) and depth < n and 2 * len(among) > n - depth:
+            upto = min(n, depth + -(-n // STEPS))
+            at = np.where(up, np.arange(depth, upto), n - 1 - np.arange(depth, upto))  # each list from its own end
+            who, value = np.take_along_axis(self.order[used], at, axis=1), np.take_along_axis(self.values[used], at, axis=1)
+            gain, flat, shape = value * weight, who.ravel(), who.shape
+            got += np.bincount(flat, gain.ravel(), n)
+            square += np.bincount(flat, (value**2).ravel(), n)
+            left -= np.bincount(flat, np.broadcast_to(weight**2, shape).ravel(), n)
+            lowest -= np.bincount(flat, np.broadcast_to(worst[:, None], shape).ravel(), n)
+            seen.append(who)
+            depth = upto
+            front = gain[:, -1]
+            read = np.concatenate(seen, axis=1)
+            highest = front.sum() - np.bincount(read.ravel(), np.broadcast_to(front[:, None], read.shape).ravel(), n)
+            length = np.sqrt(np.maximum(left, 0) * np.maximum(self.square - square, 0))
+            low = np.where(other, got + np.maximum(lowest, -length), -np.inf)
+            bar = max(floor, float(np.partition(low, n - k)[n - k])) if n > k else floor
+            among = np.flatnonzero(other & (got + np.minimum(highest, length) >= bar - slack))
+        self.read, self.resolved, self.held = self.read + depth * len(used), self.resolved + len(among), self.held + n
+        scores = _scores(self.x[among], q)
         reach = scores >= floor
         among, scores = among[reach], scores[reach]
         top = np.lexsort((self.ids[among], -scores))[:k]
@@ -100,36 +114,29 @@ class _Lists:
 
 
 def _meet(k: int):
-    """Blocks sorted by (key, kind): a query block, then the candidate blocks of its group."""
+    """Blocks sorted by (width, cell, kind): the candidate blocks of a cell, then the query blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, best = None, None, {}
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if best:
-                rows = [(q, i, s) for q, found in best.items() for i, s in found]
-                best.clear()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
-
+        at, lists = None, []
         for b in batches:
             for row in b.to_pylist():
-                key = row["width"], row["query_block"], row["cell"]
-                if key != at:
-                    yield from close()
-                    at, queries = key, []
+                if (row["width"], row["cell"]) != at:
+                    at, lists = (row["width"], row["cell"]), []
                 ids = np.frombuffer(row["ids"], np.int64)
-                data = np.frombuffer(row["data"], np.int32).reshape(len(ids), row["width"])
+                data = np.frombuffer(row["data"], np.int64).reshape(len(ids), row["width"])
                 if row["kind"] == 0:
-                    queries = queries + [(int(i), v.astype(np.float64)) for i, v in {(i, v.tobytes()): (i, v) for i, v in zip(ids, data, strict=True)}.values()]
+                    lists.append(Lists(ids, data))
                     continue
-                lists = _Lists(ids, data)
-                for i, q in queries:
-                    found = best.get(i, [])
-                    floor = found[k - 1][1] if len(found) >= k else -np.inf
-                    more = zip(*(x.tolist() for x in lists.best(i, q, k, floor)), strict=True)
-                    best[i] = sorted({*found, *((i, int(s)) for i, s in more)}, key=lambda x: (-x[1], x[0]))[:k]
-        yield from close()
+                out = []
+                for i, q in zip(ids.tolist(), data, strict=True):
+                    found: list[tuple[int, int]] = []
+                    for own in lists:
+                        floor = -found[k - 1][0] if len(found) >= k else -np.inf
+                        found = sorted(found + [(-s, v) for v, s in zip(*(x.tolist() for x in own.best(i, q, k, floor)), strict=True)])[:k]
+                    name = xxhash.xxh64_intdigest(q.tobytes()) - (1 << 63)
+                    out += [(i, name, v, -s) for s, v in found]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "query", "vec_id", "score"])
 
     return run
 
@@ -137,32 +144,30 @@ def _meet(k: int):
 def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where ``is_query`` holds, the k best others, all if fewer.
 
-    Components become floor(scale * x); scores are exact integers; ties go to the smaller id. Null vectors, vectors with
-    null, NaN or infinite components and rows without an id take no part; vectors of different width do not meet.
-    Rows that repeat an id and vector count once; no row meets one of its own id. An empty table gives no rows.
+    Components become floor(scale * x); scores are exact longs, and a component or score that does not fit one is an error. Ties
+    go to the smaller id. Null vectors, vectors with null, NaN or infinite components and rows without an id take no part;
+    vectors of different width do not meet. Every row of another id counts, repeated ones too; a query that repeats an id and
+    vector is asked once, and each different vector of an id has a list of its own. An empty table gives no rows.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound)
-    wanted = rows.where(is_query)
+    wanted = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).distinct()
     n_queries, n_rows = wanted.count(), rows.count()
-    n_blocks, n_cells = max(1, -(-n_queries // QUERIES)), max(1, -(-n_rows // GROUP))
-    keyed = wanted.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).alias("key"))
-    asked = keyed.repartition("key").mapInArrow(_packer(scale, QUERIES, True), _BLOCK)
-    plain = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.lit(0).cast("long").alias("key"))
-    most = max(64, 8 * vectors.sparkSession.sparkContext.defaultParallelism)  # tasks; one takes several blocks beyond
-    held = plain.repartition(min(most, max(1, -(-n_rows // CANDIDATES)))).mapInArrow(_packer(scale, CANDIDATES, False), _BLOCK)
-    numbered = held.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(n_cells)).cast("long"))
-    columns = ["width", "query_block", "cell", "kind", "ids", "data"]
-    # the stated queries against all rows, in blocks: every query block goes to every cell, every candidate block to each query block
-    left = asked.withColumnRenamed("block", "query_block").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells - 1).cast("long")))).withColumn("kind", F.lit(0))
-    right = numbered.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).withColumn("kind", F.lit(1))
-    both = left.select(*columns).unionByName(right.select(*columns))
-    both = both.repartition(min(most, n_blocks * n_cells), "width", "query_block", "cell").sortWithinPartitions("width", "query_block", "cell", "kind")
-    local = both.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spread = 4 * spark.sparkContext.defaultParallelism
+    n_cells = max(1, -(-n_rows // max(CANDIDATES, min(GROUP, -(-n_rows // spread)))))
+    asked = wanted.repartition(max(1, -(-n_queries // QUERIES))).mapInArrow(_packer(scale, QUERIES, 1), _BLOCK)
+    plain = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    held = plain.repartition(n_cells).mapInArrow(_packer(scale, CANDIDATES, 0), _BLOCK)
+    numbered = held.withColumn("cell", F.spark_partition_id().cast("long"))
+    # the stated queries against all rows, in blocks: the query blocks, a hundredth of the rows, go to every cell
+    dealt = asked.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells - 1).cast("long"))))
+    both = numbered.unionByName(dealt).repartition(n_cells, "width", "cell").sortWithinPartitions("width", "cell", "kind")
+    local = both.mapInArrow(_meet(k), "query_id long, query long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nra_topk(vectors: DataFrame) -> DataFrame:
@@ -177,10 +182,10 @@ with v as (
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score, q.e as q
+  from (select distinct * from v where vec_id % 100 = 0) q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
 ), r as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+  select *, cast(row_number() over (partition by query_id, q order by score desc, vec_id) as integer) as rank from s
 )
 select query_id, rank, vec_id, score from r where rank <= 10
 """

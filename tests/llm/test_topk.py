@@ -1,4 +1,7 @@
+import duckdb
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import topk as K
@@ -7,14 +10,11 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, k=10):
-    good = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good.setdefault((i, tuple(np.floor(1024 * np.float32(v).astype(float)).astype(int).tolist())), None)
+    good = [(i, tuple(int(x) for x in np.floor(1024 * np.float32(v).astype(float)))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for q, a in dict.fromkeys(good):
         if q % 100 == 0:
-            scored = sorted({(-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b)})
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -39,11 +39,11 @@ def test_many_blocks(spark, monkeypatch):
 
 def test_early_stop_is_exact():
     rng = np.random.default_rng(3)
-    data = rng.integers(-400, 400, (2000, 6)).astype(np.int32)
-    lists = K._Lists(np.arange(2000), data)
-    for q in (data[7].astype(float), np.array([900.0, 0, 0, 0, 0, 0]), np.zeros(6)):
+    data = rng.integers(-400, 400, (2000, 6))
+    lists = K.Lists(np.arange(2000), data)
+    for q in (data[7], np.array([900, 0, 0, 0, 0, 0]), np.zeros(6, np.int64)):
         ids, scores = lists.best(7, q, 10, -np.inf)
-        want = sorted((-float(s), i) for i, s in enumerate(data @ q) if i != 7)[:10]
+        want = sorted((-int(s), i) for i, s in enumerate(data @ q) if i != 7)[:10]
         assert [(-s, i) for i, s in zip(ids, scores, strict=True)] == want
 
 
@@ -51,3 +51,31 @@ def test_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0)], SCHEMA)
     assert [tuple(r) for r in K.op8_nra_topk(two).collect()] == [(0, 1, 1, 524288)]
     assert K.op8_nra_topk(two.where("false")).count() == 0
+
+
+def test_the_bounds_prune_dense_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    data = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    lists = K.Lists(np.arange(2000), data)
+    for i in range(0, 2000, 100):
+        want = sorted((-int(s), v) for v, s in enumerate(data @ data[i]) if v != i)[:10]
+        assert [(-s, v) for v, s in zip(*lists.best(i, data[i], 10, -np.inf), strict=True)] == want
+    assert lists.resolved < 0.2 * lists.held and lists.read < 0.9 * lists.held * 64
+
+
+def test_large_components_repeated_rows_and_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [5000.0, -3000.0], 0), (0, [5000.0, -3000.0], 0), (0, [1.0, 1.0], 0), (1, [2.5, 1e9], 0), (2, [1e9, 7.25], 0), (2, [1e9, 7.25], 0), (3, [4000.5, 4000.5], 0)]
+    rows += [(100 + i, rng.normal(0, 1, 600).tolist(), 0) for i in range(30)]
+    assert sorted(tuple(r) for r in K.op8_nra_topk(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted(brute(rows))
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame(rows, columns=["vec_id", "e", "label"]))
+    con.execute("create view embeddings as select vec_id, e::float[] as embedding from t")
+    assert sorted(con.execute(K.OP8_SQL).fetchall()) == sorted(brute(rows))
+
+
+def test_what_does_not_fit_a_long_is_an_error():
+    with pytest.raises(OverflowError):
+        K._scores(np.full((1, 2), 1 << 40), np.full(2, 1 << 40))
+    assert K._scores(np.array([[1 << 40, 1]]), np.array([1 << 22, 1])).tolist() == [(1 << 62) + 1]
