@@ -68,44 +68,51 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """The sorted lists of one block of candidates."""
+    """The sorted lists of one block of candidates; a block of queries reads them in step."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray) -> None:
         self.ids, self.x = ids, data
-        values = data.astype(np.float64).T
-        self.order = np.argsort(-values, axis=1, kind="stable").astype(np.int32)  # width x n: candidates, best first
-        self.values = np.take_along_axis(values, self.order, axis=1)
-        self.square = (values**2).sum(axis=0)
+        self.columns = data.astype(np.float64).T
+        order = np.argsort(-self.columns, axis=1, kind="stable")  # width x n: candidates, best first
+        self.values = np.take_along_axis(self.columns, order, axis=1)
+        self.place = np.empty_like(order)  # where each candidate stands in each list
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(ids)), order.shape), axis=1)
         self.read = self.resolved = self.held = 0  # entries of the lists, candidates whose score was resolved, candidates
 
-    def best(self, query_id: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the block's k best with a score of ``floor`` or more, ties to smaller ids."""
-        n, used = len(self.ids), np.flatnonzero(q)
-        weight, up = q[used].astype(np.float64)[:, None], (q[used] > 0)[:, None]
-        worst = (weight * np.where(up, self.values[used, -1:], self.values[used, :1])).ravel()
-        got, square, left, lowest = np.zeros(n), np.zeros(n), np.full(n, (weight**2).sum()), np.full(n, worst.sum())
-        other, depth, seen = self.ids != query_id, 0, []
-        among = np.flatnonzero(other)
-        slack = 1e-9 * (np.abs(worst).sum() + np.abs(weight * np.where(up, self.values[used, :1], self.values[used, -1:])).sum()) + 1e-6
-        while len(used) and depth < n and 2 * len(among) > n - depth:
-            upto = min(n, depth + -(-n // STEPS))
-            at = np.where(up, np.arange(depth, upto), n - 1 - np.arange(depth, upto))  # each list from its own end
-            who, value = np.take_along_axis(self.order[used], at, axis=1), np.take_along_axis(self.values[used], at, axis=1)
-            gain, flat, shape = value * weight, who.ravel(), who.shape
-            got += np.bincount(flat, gain.ravel(), n)
-            square += np.bincount(flat, (value**2).ravel(), n)
-            left -= np.bincount(flat, np.broadcast_to(weight**2, shape).ravel(), n)
-            lowest -= np.bincount(flat, np.broadcast_to(worst[:, None], shape).ravel(), n)
-            seen.append(who)
-            depth = upto
-            front = gain[:, -1]
-            read = np.concatenate(seen, axis=1)
-            highest = front.sum() - np.bincount(read.ravel(), np.broadcast_to(front[:, None], read.shape).ravel(), n)
-            length = np.sqrt(np.maximum(left, 0) * np.maximum(self.square - square, 0))
-            low = np.where(other, got + np.maximum(lowest, -length), -np.inf)
-            bar = max(floor, float(np.partition(low, n - k)[n - k])) if n > k else floor
-            among = np.flatnonzero(other & (got + np.minimum(highest, length) >= bar - slack))
-        self.read, self.resolved, self.held = self.read + depth * len(used), self.resolved + len(among), self.held + n
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and scores of the block's k best with a score of its floor or more, ties to smaller ids."""
+        n, out = len(self.ids), [None] * len(queries)
+        q = queries.astype(np.float64)
+        both = np.concatenate((np.maximum(q, 0), np.minimum(q, 0)), axis=1)  # lists read from the top, from the bottom
+        ends = np.concatenate((self.values[:, -1], self.values[:, 0]))
+        slack = 1e-9 * (np.abs(both) @ np.abs(np.concatenate((self.values[:, 0], self.values[:, -1]))) + np.abs(both) @ np.abs(ends)) + 1e-6
+        square = self.columns**2
+        active = np.arange(len(queries))
+        for step in range(1, STEPS + 1):
+            depth = -(-step * n // STEPS)
+            read = np.concatenate((self.place < depth, self.place >= n - depth))
+            unread = (~read).astype(np.float64)
+            front = np.concatenate((self.values[:, depth - 1], self.values[:, n - depth]))
+            own = both[active]
+            got = own @ np.where(read, np.concatenate((self.columns, self.columns)), 0.0)
+            left, highest, lowest = np.split(np.concatenate((own**2, own * front, own * ends)) @ unread, 3)
+            length = np.sqrt(np.maximum(left, 0) * np.maximum((own != 0) @ (np.concatenate((square, square)) * unread), 0))
+            same = query_ids[active, None] == self.ids
+            low = np.where(same, -np.inf, got + np.maximum(lowest, -length))
+            bar = np.maximum(floors[active], np.partition(low, n - k, axis=1)[:, n - k]) if n > k else floors[active]
+            among = (got + np.minimum(highest, length) >= (bar - slack[active])[:, None]) & ~same
+            done = (2 * among.sum(axis=1) <= n - depth) | (depth == n)
+            for i, mask in zip(active[done].tolist(), among[done], strict=True):
+                out[i] = self._resolve(queries[i], np.flatnonzero(mask), k, floors[i])
+            self.read += int(done.sum()) * depth * len(self.values)
+            active = active[~done]
+            if not len(active):
+                break
+        self.held += n * len(queries)
+        return out
+
+    def _resolve(self, q: np.ndarray, among: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        self.resolved += len(among)
         scores = _scores(self.x[among], q)
         reach = scores >= floor
         among, scores = among[reach], scores[reach]
@@ -127,14 +134,13 @@ def _meet(k: int):
                 if row["kind"] == 0:
                     lists.append(Lists(ids, data))
                     continue
-                out = []
-                for i, q in zip(ids.tolist(), data, strict=True):
-                    found: list[tuple[int, int]] = []
-                    for own in lists:
-                        floor = -found[k - 1][0] if len(found) >= k else -np.inf
-                        found = sorted(found + [(-s, v) for v, s in zip(*(x.tolist() for x in own.best(i, q, k, floor)), strict=True)])[:k]
-                    name = xxhash.xxh64_intdigest(q.tobytes()) - (1 << 63)
-                    out += [(i, name, v, -s) for s, v in found]
+                best: list[list[tuple[int, int]]] = [[] for _ in ids]
+                for own in lists:
+                    floors = np.array([-found[k - 1][0] if len(found) >= k else -np.inf for found in best])
+                    for n, more in enumerate(own.best(ids, data, k, floors)):
+                        best[n] = sorted(best[n] + [(-s, v) for v, s in zip(*(x.tolist() for x in more), strict=True)])[:k]
+                names = [xxhash.xxh64_intdigest(q.tobytes()) - (1 << 63) for q in data]
+                out = [(i, name, v, -s) for i, name, found in zip(ids.tolist(), names, best, strict=True) for s, v in found]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "query", "vec_id", "score"])
 

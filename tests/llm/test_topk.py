@@ -42,7 +42,7 @@ def test_early_stop_is_exact():
     data = rng.integers(-400, 400, (2000, 6))
     lists = K.Lists(np.arange(2000), data)
     for q in (data[7], np.array([900, 0, 0, 0, 0, 0]), np.zeros(6, np.int64)):
-        ids, scores = lists.best(7, q, 10, -np.inf)
+        ids, scores = lists.best(np.array([7]), q[None], 10, np.array([-np.inf]))[0]
         want = sorted((-int(s), i) for i, s in enumerate(data @ q) if i != 7)[:10]
         assert [(-s, i) for i, s in zip(ids, scores, strict=True)] == want
 
@@ -58,9 +58,10 @@ def test_the_bounds_prune_dense_vectors():
     x = rng.normal(size=(2000, 64))
     data = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
     lists = K.Lists(np.arange(2000), data)
-    for i in range(0, 2000, 100):
+    asked = np.arange(0, 2000, 100)
+    for i, best in zip(asked, lists.best(asked, data[asked], 10, np.full(20, -np.inf)), strict=True):
         want = sorted((-int(s), v) for v, s in enumerate(data @ data[i]) if v != i)[:10]
-        assert [(-s, v) for v, s in zip(*lists.best(i, data[i], 10, -np.inf), strict=True)] == want
+        assert [(-s, v) for v, s in zip(*best, strict=True)] == want
     assert lists.resolved < 0.2 * lists.held and lists.read < 0.9 * lists.held * 64
 
 
