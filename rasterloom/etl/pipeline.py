@@ -73,21 +73,24 @@ def sql_type(kind: str) -> str:
 
 
 def transform(spark: SparkSession, source: DataFrame, sql: str | None) -> DataFrame:
-    """One statement over the view ``input``, in a session of its own so that runs do not see each other's views."""
+    """One statement over a relation named ``input``: a common table expression before its own, over a view of this run's."""
     if not sql:
         return source
     source.createOrReplaceTempView(name := f"input_{uuid.uuid4().hex}")
-    text = re.sub(r"\binput\b", name, sql.strip().rstrip(";"))
-    return spark.sql(text)
+    text = sql.strip().rstrip(";")
+    own = re.match(r"with\s+", text, re.IGNORECASE)
+    return spark.sql(f"with input as (select * from {name}), {text[own.end() :]}" if own else f"with input as (select * from {name}) {text}")
 
 
 def first_rows(rows: DataFrame, key: str, order: list | None = None) -> DataFrame:
     """The first row of each key; rows without a key all stay. ``order`` defaults to the rows' place in the file."""
-    keyed = rows.withColumn("_seq", F.monotonically_increasing_id()) if order is None else rows
-    w = Window.partitionBy(key).orderBy(*(order or ["_seq"]))
+    taken = {c.lower() for c in rows.columns}
+    seq, rank = (next(n for k in range(len(taken) + 1) if (n := f"_{word}{k or ''}") not in taken) for word in ("seq", "rank"))
+    keyed = rows.withColumn(seq, F.monotonically_increasing_id()) if order is None else rows
+    w = Window.partitionBy(key).orderBy(*(order or [seq]))
     # rows without a key never conflict: they skip the window, so they cannot make one huge group
-    ranked = keyed.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    return ranked.unionByName(keyed.where(F.col(key).isNull())).drop("_seq")
+    ranked = keyed.where(F.col(key).isNotNull()).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+    return ranked.unionByName(keyed.where(F.col(key).isNull())).select(*rows.columns)
 
 
 class Engine:

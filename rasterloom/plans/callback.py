@@ -14,7 +14,7 @@ from .graph import suggest
 
 REDUCERS = ("mean", "min", "max", "sum", "count", "first", "last", "median", "variance", "sd")
 _REDUCER_NAMES = {**{r: r for r in REDUCERS}, "var": "variance", "stdev": "sd"}
-_LOGIC = ("and", "or", "not", "eq", "neq", "gt", "gte", "lt", "lte", "between")
+_LOGIC = ("and", "or", "xor", "not", "eq", "neq", "gt", "gte", "lt", "lte", "between")
 SCALARS = sorted({*S.UNARY, *S.BINARY, *S.ALIASES, "log", "round", "clip", "linear_scale_range", "min", "max", *_LOGIC})
 
 
@@ -151,9 +151,9 @@ class _Compiler:
             return number(same if process == "eq" else ~same)
         if process == "between":
             return number(S.between(a("x"), a("min"), a("max"), bool(args.get("exclude_max"))))
-        if process in ("and", "or"):
+        if process in ("and", "or", "xor"):
             x, y = a("x") != 0, a("y") != 0
-            return number(x & y if process == "and" else x | y)
+            return number({"and": x & y, "or": x | y, "xor": x != y}[process])
         if process == "not":
             return number(a("x") == 0)
         raise UnknownProcess(f"unknown process {process!r} in a callback{suggest(process, [*SCALARS, *REDUCERS])}")

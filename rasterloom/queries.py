@@ -50,7 +50,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql if sql.startswith("with ") else f"with {CUBE} {sql}"
+            SQL[name] = sql if sql.startswith("with ") else f"with {CUBE}{sql}" if sql.startswith(",") else f"with {CUBE} {sql}"
         return f
 
     return keep
@@ -209,6 +209,7 @@ _LOGIC = {
     "and": (_call("and", x=X, y=1), "v <> 0"),
     "or": (_call("or", x=X, y=0), "v <> 0"),
     "not": (_call("not", x=X), "v = 0"),
+    "xor": (_call("xor", x=X, y=1), "v = 0"),
 }
 
 
@@ -666,8 +667,11 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import source_queries  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

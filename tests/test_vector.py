@@ -7,22 +7,22 @@ from rasterloom.operators import sampling as SM
 from rasterloom.operators import vector as V
 from rasterloom.operators.resample import resample_spatial
 
-SIXTEEN = [[4 * r + c + 1 for c in range(4)] for r in range(4)]
+HILLS = [[7, -2, 30, 11], [5, 18, 0, 44], [9, 9, 21, 3], [60, 1, 13, 8]]
 
 
 def test_polygon_mean(spark):
-    square = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
+    band = [[1, 0], [4, 0], [4, 2], [1, 2], [1, 0]]
     far = [[50, 50], [51, 50], [51, 51]]
-    out = V.aggregate_spatial_polygon(raster(spark, SIXTEEN), [square, far]).orderBy("geometry").collect()
-    assert [r["mean"] for r in out] == [3.5, None]
+    out = V.aggregate_spatial_polygon(raster(spark, HILLS), [band, far]).orderBy("geometry").collect()
+    assert [r["mean"] for r in out] == [pytest.approx(101 / 6), None]
 
 
 def test_world_polygons(spark):
-    shape = {"type": "Polygon", "coordinates": [[[0, 4], [2, 4], [2, 2], [0, 2], [0, 4]]]}
-    out = V.aggregate_spatial(raster(spark, SIXTEEN), shape, call("mean", data=DATA)).collect()
-    assert [(r["geometry"], r["scene"], r["value"]) for r in out] == [(0, 0, 3.5)]
+    shape = {"type": "Polygon", "coordinates": [[[1, 4], [4, 4], [4, 2], [1, 2], [1, 4]]]}
+    out = V.aggregate_spatial(raster(spark, HILLS), shape, call("mean", data=DATA)).collect()
+    assert [(r["geometry"], r["scene"], r["value"]) for r in out] == [(0, 0, pytest.approx(101 / 6))]
     with pytest.raises(GraphError):
-        V.aggregate_spatial(raster(spark, SIXTEEN), shape, call("clip", x=1))
+        V.aggregate_spatial(raster(spark, HILLS), shape, call("clip", x=1))
 
 
 def test_points(spark):
@@ -41,7 +41,7 @@ def test_rings():
 
 def test_neighbours_share_no_pixel(spark):
     left, right = [(0, 0), (2, 0), (2, 4), (0, 4)], [(2, 0), (4, 0), (4, 4), (2, 4)]
-    out = V.in_rings(raster(spark, SIXTEEN).frame(), [left, right])
+    out = V.in_rings(raster(spark, HILLS).frame(), [left, right])
     assert out.count() == 16 and out.groupBy("id").count().count() == 2
 
 
@@ -59,15 +59,15 @@ def test_projection_round_trip(spark, crs):
 
 
 def test_resample_keeps_the_picture(spark):
-    cube = raster(spark, SIXTEEN)
+    cube = raster(spark, HILLS)
     out = resample_spatial(cube, 3857)
     got = {(r["y"], r["x"]): r["v"] for r in out.frame().collect()}
-    assert out.crs == "EPSG:3857" and got[0, 0] == 1 and got[3, 3] == 16
+    assert out.crs == "EPSG:3857" and got[0, 0] == 7 and got[3, 3] == 8
     with pytest.raises(GraphError):
         resample_spatial(cube, 3857, 10)
 
 
 def test_sampling(spark):
-    cube = raster(spark, SIXTEEN)
+    cube = raster(spark, HILLS)
     points = spark.createDataFrame([(0, 0.5, 3.5), (1, 3.9, 0.1), (2, -1.0, 0.0)], "point int, wx double, wy double")
-    assert [r["value"] for r in SM.sample_points(cube, points).orderBy("point").collect()] == [1, 16, None]
+    assert [r["value"] for r in SM.sample_points(cube, points).orderBy("point").collect()] == [7, 8, None]
