@@ -1,7 +1,8 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the rows by (first bytes of the text, 64-bit hash of it, id); an external sort inside
-each partition then puts equal texts next to each other, and each row is compared in full with its neighbour.
+Sampled splitters range-partition the rows by (first bytes of the text, 64-bit hash of it, id): the order is by content as far as
+the first ``PREFIX`` bytes go, then by hash. An external sort inside each partition, by these and then by the whole text, puts
+equal texts next to each other, and each row is compared in full with its neighbour.
 Splitters hold ``PREFIX`` bytes and two integers, not whole texts, so sampling stays small however long texts are; the
 hash parts texts that share their beginning, and the id parts one text that holds a third of all rows.
 
@@ -20,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, release, ship
+from ._shared import cut, release, ship, spare
 
 PREFIX = 16
+SMALL = 1 << 20  # runs at partition borders that are broadcast at most
 
 _RUNS = "id long, pid int, run long, keep_id long, group_size long, leads boolean, edge boolean, edge_text string, text_sha256 string"
 _NAMES = [x.split()[0] for x in _RUNS.split(", ")]
@@ -87,8 +89,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = runs.where("edge and leads").select("pid", "run", "edge_text", "keep_id", "group_size")
     best = F.max if keep == "largest" else F.min
     whole = edges.groupBy("edge_text").agg(best("keep_id").alias("all_keep"), F.sum("group_size").alias("all_size"), F.min(F.struct("pid", "run")).alias("lead"))
-    # two keys a partition at most (more only where 64-bit hashes collide), and no texts: bounded by the partition count
-    told = F.broadcast(edges.join(whole, "edge_text").select("pid", "run", "all_keep", "all_size", (F.struct("pid", "run") == F.col("lead")).alias("leading")))
+    # two keys a partition (more only where 64-bit hashes collide), and no texts; counted before it is broadcast
+    told = edges.join(whole, "edge_text").select("pid", "run", "all_keep", "all_size", (F.struct("pid", "run") == F.col("lead")).alias("leading"))
+    told = F.broadcast(told) if edges.count() <= SMALL else told
     return runs.join(told, ["pid", "run"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("edge"), F.col("all_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -100,13 +103,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, all columns as they were; of rows that repeat an id and a
-    text one stays. Names starting with an underscore are taken for the join and must not be columns of ``docs``.
+    text one stays. Null texts count as empty; an empty table stays empty; other columns may have any name.
     """
     kept = exact_dedup(docs, id_col, text_col, keep).where("kept")
-    kept = kept.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col("text_sha256").alias("sha")).alias("_kept"))
+    own, stays = spare(docs.columns, "key", "kept")
+    kept = kept.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col("text_sha256").alias("sha")).alias(stays))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    held = docs.withColumn("_key", F.struct(F.col(id_col).cast("long").alias("id"), sha.alias("sha")))  # struct equality takes null as a value
-    return held.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    held = docs.withColumn(own, F.struct(F.col(id_col).cast("long").alias("id"), sha.alias("sha")))  # struct equality takes null as a value
+    return held.join(kept, F.col(own) == F.col(stays), "left_semi").dropDuplicates([own]).drop(own)
 
 
 def op2_content_sort(docs: DataFrame) -> DataFrame:

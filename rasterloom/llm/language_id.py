@@ -137,7 +137,10 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows with a language; rows without one, and null texts, teach nothing. No rows: a model that says ``und``."""
+    """Learn from rows with a language; rows without one, and null texts, teach nothing. No rows: a model that says ``und``.
+
+    More than ``MAX_LANGUAGES`` languages are an error, as the matrix that is broadcast grows with them.
+    """
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy("label").limit(MAX_LANGUAGES + 1).collect()}
@@ -159,7 +162,8 @@ def fit(labelled: DataFrame, per_language: int = 2000, id_col: str = "doc_id", t
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (columns of those names are replaced); the text alone decides.
 
-    A null text, or one without a letter, is ``und`` with score 0. Rows are neither dropped nor joined.
+    A null text, or one without a letter, is ``und`` with score 0; of languages that are equally likely the first by name is
+    told. Very long texts are read whole, in blocks. Rows are neither dropped nor joined, and an empty table stays empty.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -188,5 +192,5 @@ def op1_naive_bayes_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows whose language is told with a score of ``least`` or more, columns unchanged."""
+    """The rows whose language is told with a score of ``least`` or more, columns unchanged; null texts and texts without a letter go."""
     return identify(docs, fit(docs.where(~held_out()))).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)

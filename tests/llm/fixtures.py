@@ -30,7 +30,7 @@ def documents(spark, n: int = 60, awkward: bool = True):
 
 def clashing(docs):
     """The same rows with columns of the names that operators make."""
-    names = ["id", "hash", "prefix", "fp", "ids", "decoded", "lang_pred", "score", "n_words", "places", "matches", "size", "shard", "rank", "key", "count", "sequence_id", "offset", "seen", "text_sha256"]
+    names = ["id", "hash", "prefix", "fp", "ids", "decoded", "lang_pred", "score", "n_words", "places", "matches", "size", "shard", "rank", "key", "count", "sequence_id", "offset", "seen", "text_sha256", "_key", "_kept", "_words", "_lane", "_rank", "_seen", "_gone", "_digest", "_plain"]
     return docs.withColumns({n: F.lit("x") for n in names})
 
 

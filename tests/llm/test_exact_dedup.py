@@ -49,3 +49,9 @@ def test_dropping(spark):
     texts = [r["text"] or "" for r in kept.collect()]
     assert len(texts) == len(set(texts)) == len({r["text"] or "" for r in docs.collect()})
     assert D.drop_copies(empty(docs)).count() == 0 and D.op2_content_sort(empty(docs)).count() == 0
+
+
+def test_other_columns_stay(spark):
+    docs = clashing(documents(spark, 12))
+    kept = D.drop_copies(docs)
+    assert kept.columns == docs.columns and {r["_key"] for r in kept.collect()} == {"x"}

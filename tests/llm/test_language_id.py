@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 from tests.llm.fixtures import clashing, documents, empty, prose, rows
 
@@ -48,3 +50,43 @@ def test_empty_and_clashing(spark):
     kept = L.keep_identified(clashing(docs))
     assert kept.columns == clashing(docs).columns and {1000, 1001, 1002, 1003}.isdisjoint(r["doc_id"] for r in kept.collect())
     assert {r["lang_pred"] for r in L.identify(docs, L.fit(empty(docs))).collect()} == {"und"}
+
+
+def brute_bins(text):
+    s = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    for i in range(1, len(s)):
+        if s[i] == s[i - 1] == " ":
+            continue
+        h = 0
+        for n in range(1, 5):
+            if n > 2 and (i - n + 2 < 0 or s[i - n + 2] == " "):
+                break
+            h = ((h ^ (ord(s[i - n + 1] if i >= n - 1 else " ") + n)) * 0x9E3779B1) & 0xFFFFFFFF
+            h ^= h >> 15
+            if n > 1 or s[i] != " ":
+                yield h >> 16
+
+
+def test_against_a_plain_naive_bayes(spark):
+    docs = documents(spark, 90).where("doc_id is null or doc_id <> 1005")
+    held, counts = docs.collect(), {}
+    for r in held:
+        if r["lang"] is not None and (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2):
+            counts.setdefault(r["lang"], Counter()).update(brute_bins(r["text"]))
+    logs = {x: (lambda c, t: lambda b: math.log((c[b] + 0.5) / t))(c, sum(c.values()) + 0.5 * 65536) for x, c in sorted(counts.items())}
+    want = []
+    for r in held:
+        bins = list(brute_bins(r["text"]))
+        total = {x: sum(map(log, bins)) for x, log in logs.items()}
+        best = max(total, key=total.get)
+        want.append((r["doc_id"], best if bins else "und", 1 / sum(math.exp((t - total[best]) / math.sqrt(len(bins))) for t in total.values()) if bins else 0.0))
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in L.op1_naive_bayes_language(docs).collect()), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want, key=repr)]
+    assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, sorted(want, key=repr), strict=True))
+
+
+def test_ties_go_to_the_first_name():
+    import numpy as np
+
+    model = L.Model(["b", "c"], np.ones((2, L.BINS), np.int64))
+    assert model.predict(["word", None, ""])[0] == ["b", "und", "und"] and model.predict(["word"])[1] == [0.5]
