@@ -5,7 +5,9 @@ frequent ones are one entry of a chunk (pre-aggregation), and dealt to partition
 up its part of the count table and joins it back to the entries: it answers every chunk with the corpus counts of the
 n-grams that the chunk asked for, in the order asked. The chunk then scores each n-gram of each document and sums by
 document. Only packed arrays are shuffled, about 8 bytes for a different n-gram of a chunk, and nothing is broadcast but
-one number, the corpus's length.
+one number, the corpus's length. Plain rows of (n-gram, document) would be the same join, but write more to disk than
+twice the input for the counts alone. The numbers of parts and of chunk partitions follow the texts' bytes, so what a task
+holds does not grow with the input.
 
 A document must not vouch for itself: its own occurrences are taken off every count. The score of a word is
 c(context, word) / c(context) at the highest order where the n-gram occurs elsewhere, times ``backoff`` for each order given
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 from ._shared import cut, ship, slices
 
 BYTES = 8 << 20  # text in a chunk
+PART = 16 << 20  # text for each part of the count table: a part holds about as many bytes of hashes
 ORDER = 2
 BACKOFF = 0.4
 
@@ -200,7 +203,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("pid"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts or -(-n_bytes // PART) or 1
     exploded = rows.mapInArrow(_explode(order, parts, chunk_bytes), "part int, chunk long, n int, hashes binary, counts binary")
     counted = exploded.repartitionById(parts, "part").sortWithinPartitions("part", "n")
     totals = cut(counted.mapInArrow(_count, "chunk long, n int, part int, words long, width int, totals binary"))
@@ -208,7 +212,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     kind = rows.schema["id"].dataType
     payload = rows.mapInArrow(_payload(chunk_bytes), T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))]))
     both = totals.drop("words").unionByName(payload, allowMissingColumns=True)
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("texts").isNotNull(), "n", "part")
+    dealt = both.repartition(max(1, -(-2 * n_bytes // chunk_bytes)), "chunk").sortWithinPartitions("chunk", F.col("texts").isNotNull(), "n", "part")
     out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_seen", T.LongType()), T.StructField("score", T.DoubleType())])
     return dealt.mapInArrow(_score(int(corpus), order, backoff), out).withColumnRenamed("id", id_col)
 
