@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from ._shared import resident, ship, slices
 
-CACHED_PIECES = 200_000
+CACHED_PARTS = 600_000
+CACHED_PIECES = 100_000
 CACHED_STATES = 1 << 17
 CACHED_PAIRS = 1 << 19
 LONGEST_CACHED = 48
@@ -236,16 +237,22 @@ class Pieces(dict):
         super().__init__()
         self.transducer, self.missed = Transducer(ranks), 0
 
-    def __missing__(self, piece: str) -> bytes:
+    def new(self, piece: str) -> bytes:
         self.missed += 1
-        ids = array("i", self.transducer.encode(piece.encode())).tobytes()
+        return array("i", self.transducer.encode(piece.encode())).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.new(piece)
         if len(self) < CACHED_PIECES and len(piece) <= LONGEST_CACHED:
             self[piece] = ids
         return ids
 
 
 class Encoder(dict):
-    """Matches of ``splitter`` to the ids of the pieces in them, within the same bound; without a splitter, of whole texts."""
+    """Matches of ``splitter`` to the ids of the pieces in them, within a bound too; without a splitter, of whole texts.
+
+    A part that is one piece is kept here alone, not among the pieces as well.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, splitter: str | None) -> None:
         super().__init__()
@@ -258,8 +265,11 @@ class Encoder(dict):
         return b"".join([self.pieces[m.group()] for m in self.find.finditer(text)])  # without a list of all pieces
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.of(part)
-        if len(self) < CACHED_PIECES and len(part) <= LONGEST_CACHED:
+        if len(part) > LONGEST_CACHED:
+            return self.of(part)
+        found = self.find.findall(part)
+        ids = self.pieces.new(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        if len(self) < CACHED_PARTS:
             self[part] = ids
         return ids
 
