@@ -26,20 +26,29 @@ def blocks(frame: DataFrame, block: int, halo: int = 0) -> DataFrame:
     return out.where("block_row >= 0 and block_col >= 0").withColumn("core", (F.col("block_row") == own_row) & (F.col("block_col") == own_col))
 
 
+def _masked(cube: Cube, mask: Cube | None) -> DataFrame:
+    """The cube's rows, with a mask's bands as ``mask_<band>`` where there is one."""
+    if mask is None:
+        return cube.frame()
+    base, ours, theirs = joined(cube, mask, "left")
+    return base.frame().select(*base.keys, *(c.alias(b) for b, c in ours.items()), *(c.alias(f"mask_{b}") for b, c in theirs.items()))
+
+
 def apply_blocks(cube: Cube, worker: Callable[[pd.DataFrame], pd.DataFrame], schema: str, block: int = 256, halo: int = 0, by_scene: bool = True, mask: Cube | None = None) -> DataFrame:
     """``worker`` on the rows of each block (and scene): a map, or with ``by_scene`` False a reduction over time.
 
     With a mask its bands come along, named ``mask_<band>``. Rows of the halo are marked by ``core``; what the worker returns
     for them is its own business.
     """
-    frame = cube.frame()
-    if mask is not None:
-        base, ours, theirs = joined(cube, mask, "left")
-        frame = base.frame().select(*base.keys, *(c.alias(b) for b, c in ours.items()), *(c.alias(f"mask_{b}") for b, c in theirs.items()))
     keys = ["block_row", "block_col"] + (["scene"] if by_scene and not cube.base.timeless else [])
-    return blocks(frame, block, halo).groupBy(*keys).applyInPandas(worker, schema)
+    return blocks(_masked(cube, mask), block, halo).groupBy(*keys).applyInPandas(worker, schema)
 
 
-def apply_rows(cube: Cube, worker: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``worker`` on each pixel row of all scenes."""
-    return cube.frame().groupBy("y").applyInPandas(worker, schema)
+def apply_rows(cube: Cube, worker: Callable[[pd.DataFrame], pd.DataFrame], schema: str, width: int | None = None, mask: Cube | None = None) -> DataFrame:
+    """``worker`` on each pixel row of all scenes; with ``width`` on runs of that many of its columns.
+
+    A group holds a row's columns times its scenes, so a wide raster needs ``width``. A mask's bands come along as in ``apply_blocks``.
+    """
+    frame = _masked(cube, mask)
+    run = [F.floor(F.col("x") / width).cast("int").alias("run")] if width else []
+    return frame.groupBy("y", *run).applyInPandas(worker, schema)

@@ -52,6 +52,19 @@ def test_workers_on_blocks(spark):
     assert sums[0]["v"] == 15
 
 
+def test_rows_in_runs_with_a_mask(spark):
+    import pandas as pd
+
+    cube = raster(spark, [[r * 6 + c for c in range(6)] for r in range(2)])
+    mask = raster(spark, [[c % 2 for c in range(6)] for r in range(2)])
+
+    def total(p):
+        return pd.DataFrame([(p.y.iloc[0], p.x.min(), len(p), p.v[p.mask_v == 0].sum())], columns=["y", "x", "n", "v"])
+
+    out = sorted(map(tuple, K.apply_rows(cube, total, "y int, x int, n long, v double", 4, mask).collect()))
+    assert out == [(0, 0, 4, 2.0), (0, 4, 2, 4.0), (1, 0, 4, 14.0), (1, 4, 2, 10.0)]
+
+
 def test_retry_and_breaker():
     calls, pauses = [], []
 
