@@ -552,18 +552,20 @@ def _(spark, d):
     return frame.select("scene", "y", "x", qa.get_class(F.col("ndvi"), [-0.5, 0.0, 0.5]).alias("class"))
 
 
-_MODEL = {"weights": [1.5, -2.0, 0.75], "bias": 0.01}
+# weights by a rule, for the 64 components of an embedding
+_MODEL = {"weights": [(1 + k % 7) * (-1) ** k / 4 for k in range(64)], "bias": 0.01}
+_SCORE_SQL = " + ".join([*(f"{w} * cast(embedding[{k}] as double)" for k, w in enumerate(_MODEL["weights"], 1)), str(_MODEL["bias"])])
 
 
-@query("predict_classifier", "select vec_id, case when 1 / (1 + exp(-(1.5 * cast(embedding[1] as double) + -2.0 * cast(embedding[2] as double) + 0.75 * cast(embedding[3] as double) + 0.01))) >= 0.5 then 1 else 0 end as p from embeddings")
+@query("predict_classifier", f"select vec_id, case when 1 / (1 + exp(-({_SCORE_SQL}))) >= 0.5 then 1 else 0 end as p from embeddings")
 def _(spark, d):
-    x = F.slice("embedding", 1, 3).cast("array<double>")
+    x = F.col("embedding").cast("array<double>")
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", ml.predict({"model": _MODEL}, x).alias("p"))
 
 
-@query("classifier_accuracy", "select round(avg(case when (case when 1.5 * cast(embedding[1] as double) + -2.0 * cast(embedding[2] as double) + 0.75 * cast(embedding[3] as double) + 0.01 >= 0 then 1 else 0 end) = label % 2 then 1.0 else 0.0 end), 6) as accuracy from embeddings")
+@query("classifier_accuracy", f"select round(avg(case when (case when {_SCORE_SQL} >= 0 then 1 else 0 end) = label % 2 then 1.0 else 0.0 end), 6) as accuracy from embeddings")
 def _(spark, d):
-    x = F.slice("embedding", 1, 3).cast("array<double>")
+    x = F.col("embedding").cast("array<double>")
     return spark.read.parquet(f"{d}/embeddings.parquet").agg(F.round(ml.accuracy(ml.predict(_MODEL, x), F.col("label") % 2), 6).alias("accuracy"))
 
 
