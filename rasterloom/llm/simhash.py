@@ -27,7 +27,7 @@ from .components import connected_components
 
 CELL = 2048
 SHINGLES = 1 << 15  # hashed at a time
-TASKS = 1 << 16  # words compared at a time
+TASKS = 1 << 16  # words compared at a time, an eighth of them where fingerprints are wide
 ROWS = 1 << 17  # bucket rows held at a time, if the buckets are small
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -88,10 +88,11 @@ def linked(fps: np.ndarray, buckets: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def matches(fps: np.ndarray, buckets: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def matches(fps: np.ndarray, buckets: np.ndarray, radius: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (a before b) of a bucket at ``radius`` or fewer differing bits, in blocks; ``buckets`` is sorted.
 
-    ``fps`` has one word of 64 bits for each row, or a row of words.
+    ``fps`` has one word of 64 bits for each row, or a row of words. Pairs of one ``label`` need not be found: words that hold
+    nothing but a row's own label are passed over, so rows are best sorted by label inside a bucket.
     """
     fps = fps.reshape(len(fps), -1).T
     bits, rows = 64 * len(fps), fps.shape[1]
@@ -110,26 +111,37 @@ def matches(fps: np.ndarray, buckets: np.ndarray, radius: int) -> Iterator[tuple
     tasks[np.repeat(size, size) < 2] = 0
     ends = np.cumsum(tasks)
     planes = [np.bitwise_or.reduceat(((fps[p // 64] >> np.uint64(p % 64)) & np.uint64(1)) << lane, word_first) for p in range(bits)] if ends[-1] else []
+    if label is not None:
+        least, most = np.minimum.reduceat(label, word_first), np.maximum.reduceat(label, word_first)
+    order = [k % 4 * (bits // 4) + k // 4 for k in range(bits)]  # the blocks in turn: some of them may be equal in any bucket
+    step = 1 if bits == 64 else 8
     at = 0
     while at < rows:
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TASKS, side="right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TASKS // step, side="right")))
         n = tasks[at:upto]
         row = np.repeat(np.arange(at, upto), n)
         at = upto
         if not len(row):
             continue
         word = row_word[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        if label is not None:
+            apart = (least[word] != most[word]) | (least[word] != label[row])
+            row, word = row[apart], word[apart]
         own = word == row_word[row]
-        counters = [np.zeros(len(row), np.uint64) for _ in range((radius + 1).bit_length())]
+        counters = [np.zeros(len(row), np.uint64) for _ in range(max((radius + 1).bit_length(), step.bit_length() - 1))]
         over = ~valid[word]
         over[own] |= ALL >> (np.uint64(63) - lane[row[own]])  # itself and the rows before it
-        for k in range(bits):
-            p = k % 4 * (bits // 4) + k // 4  # the blocks in turn: some of them may be equal in any bucket
-            carry = planes[p][word] ^ (np.uint64(0) - ((fps[p // 64][row] >> np.uint64(p % 64)) & np.uint64(1)))
-            for c, counter in enumerate(counters):  # carry-save: add one bit to 64 counters at once
-                counters[c], carry = counter ^ carry, counter & carry
+        for k in range(0, bits, step):
+            carry = [planes[p][word] ^ (np.uint64(0) - ((fps[p // 64][row] >> np.uint64(p % 64)) & np.uint64(1))) for p in order[k : k + step]]
+            first = 0
+            while len(carry) > 1:  # eight bits at once: full adders of a counter and two bits hand on half as many
+                carry = [_add(counters, first, *carry[n : n + 2]) for n in range(0, len(carry), 2)]
+                first += 1
+            (carry,) = carry
+            for c in range(first, len(counters)):  # carry-save: add one bit to 64 counters at once
+                counters[c], carry = counters[c] ^ carry, counters[c] & carry
             over = over | carry
-            if k % 16 == 15 or (bits == 64 and k % 4 == 3):
+            if (bits == 64 and k % 4 == 3) or (step > 1 and k > radius and k % 32 == 24):
                 out = over | _beyond(counters, radius)
                 keep = out != ALL
                 if not keep.all():  # abandon the words of which every lane exceeds the radius
@@ -146,6 +158,14 @@ def matches(fps: np.ndarray, buckets: np.ndarray, radius: int) -> Iterator[tuple
             hits = hits ^ low
 
 
+def _add(counters: list[np.ndarray], at: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Add two bits to 64 counters' plane ``at`` at once; what is carried to the next plane."""
+    both = one ^ two
+    carry = (one & two) | (both & counters[at])
+    counters[at] = counters[at] ^ both
+    return carry
+
+
 def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter, lowest plane first, is over the radius. A counter that overflowed is marked where that happens."""
     more, same = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)

@@ -148,3 +148,16 @@ def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in N.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [r for r in got if r[0] != 3] == [(0, two), (1, one), (1, other), (1, other)]
     assert sum(r[0] == 3 for r in got) == 1  # of near copies with one id, one stays
+
+
+def test_every_link_comes_through_fingerprint_buckets(spark, monkeypatch):
+    words = [f"e{k}" for k in range(200)]
+    texts = [" ".join(words), " ".join(words + ["end"]), " ".join(words).upper()]
+    own = N.shingles(texts[0], 5)
+    hashed = [[int(x) for x in N._spread(own ^ seed)] for seed in N._seeds(5)]
+    want = [int(2 * sum(h >> b & 1 for h in word) + (word[0] >> b & 1) > len(own)) for word in hashed for b in range(64)]
+    assert N.wide_fingerprint(own, 300).tolist() == want[:300]
+    monkeypatch.setattr(N, "BUCKET", 1)  # several bits and tables, though the documents are few
+    assert left(spark, texts) == {0}
+    monkeypatch.setattr(N, "RADIUS", 0)  # then only equal fingerprints are joined
+    assert left(spark, texts) == {0, 1}
