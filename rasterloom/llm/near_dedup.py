@@ -8,8 +8,10 @@ bucket holds about ``BUCKET``), and the tables from the bits, so that a pair at
 of ``MISS`` (in sets of under 25 shingles less than 1e-7, up to 8 bits).
 
 1. In each bucket ``WIDE`` more words of the fingerprints are compared bit-sliced. Documents within ``RADIUS`` (a pair at 0.8 is beyond
-   it with less than 2e-9) are joined, and each names the middle of what it was joined with. A bucket of more than ``PART`` cells is
-   split in parts, each two of which meet. What is connected over all buckets is a block.
+   it with less than 2e-9) are joined, and each names the middle of what it was joined with, and the smallest node of it. A bucket
+   of more than ``PART`` cells is split in parts, each two of which meet. What is connected over all buckets is a block. A large group
+   has another smallest node in each bucket, but the smallest over all buckets is the same for nearly all of it: to that one a node
+   is linked, and so are the others that it named. These are about as many links as nodes, not as nodes times tables.
 2. Each document of a block is checked against the middle that it named most often. Most groups of copies are one component then.
 3. Blocks whose documents are still apart are compared in full: again bit-sliced, and pairs of different components that pass
    are checked. Of a block of more than ``CELL`` documents, the largest component is not compared with itself.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, discard, release, ship, spare
@@ -144,23 +146,23 @@ def gathered(fps: np.ndarray, cells: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def middles(fps: np.ndarray, label: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, middle) of the rows that are not alone: of their set the row nearest to the majority of each bit."""
+def middles(fps: np.ndarray, label: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, middle, least) of the rows that are not alone: of their set the row nearest to the majority of each bit, and the smallest node."""
     row = np.argsort(label, kind="stable")
     label, many = label[row], np.bincount(label, minlength=len(label))
     row, label = row[many[label] > 1], label[many[label] > 1]
     if not len(row):
-        return row, row
+        return row, row, node[row]
     first = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
     size = np.diff(np.append(first, len(row)))
     bits = np.unpackbits(np.ascontiguousarray(fps[row]).view(np.uint8), axis=1)
     most = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > size[:, None]
     order = np.lexsort((node[row], (bits != np.repeat(most, size, axis=0)).sum(axis=1), label))
-    return row, np.repeat(row[order[first]], size)
+    return row, np.repeat(row[order[first]], size), np.repeat(np.minimum.reduceat(node[row], first), size)
 
 
 def _near(radius: int):
-    """Rows sorted by (key, low, high), which are a cell: (node, centre) of the rows that are near another of their cell."""
+    """Rows sorted by (key, low, high), which are a cell: (node, least, centre) of the rows that are near another of their cell."""
 
     def changes(rows: pa.Table) -> np.ndarray:
         at = np.stack([rows.column(c).to_numpy() for c in ("key", "low", "high")])
@@ -173,9 +175,9 @@ def _near(radius: int):
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             fps = np.stack([rows.column(c).to_numpy() for c in _FPS], axis=1).view(np.uint64)
             node = rows.column("node").to_numpy()
-            row, middle = middles(fps, gathered(fps, np.cumsum(np.append(0, changes(rows))), radius), node)
-            apart = node[row] != node[middle]
-            yield pa.RecordBatch.from_arrays([pa.array(node[row[apart]]), pa.array(node[middle[apart]])], ["node", "centre"])
+            row, middle, least = middles(fps, gathered(fps, np.cumsum(np.append(0, changes(rows))), radius), node)
+            apart = (node[row] != node[middle]) | (node[row] != least)
+            yield pa.RecordBatch.from_arrays([pa.array(x[apart]) for x in (node[row], least, node[middle])], ["node", "least", "centre"])
 
         n = 0
         for b in batches:
@@ -262,6 +264,16 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def block_links(near: DataFrame) -> DataFrame:
+    """Different (u, v) that connect what ``near`` (node, least) does: a node goes to the smallest that it named, and so do the others it named.
+
+    A node names one in each bucket or part that it is in, so its different rows fit one task; no join, and nothing is left out.
+    """
+    to = F.min("least").over(Window.partitionBy("node"))
+    links = near.where("node <> least").select("node", "least").distinct().select("node", "least", to.alias("v"))
+    return links.select(F.when(F.col("least") == F.col("v"), F.col("node")).otherwise(F.col("least")).alias("u"), "v").distinct()
+
+
 def near_components(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(node, root) of the documents of ``rows`` (node long, text) that are near-duplicates, transitively, of another."""
     bits, tables = layout(rows.count())
@@ -275,10 +287,10 @@ def near_components(rows: DataFrame, words: int = 5, least: float = 0.8) -> Data
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", *_FPS)
     order = ["key", "low", "high"]
-    near = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_near(RADIUS), "node long, centre long")
-    near = cut(near.groupBy("node", "centre").agg(F.count("*").alias("times")))
-    blocks = cut(connected_components(near.select(F.col("node").alias("u"), F.col("centre").alias("v"))))
-    partner = cut(near.groupBy("node").agg(F.max(F.struct("times", "centre")).alias("c")).select("node", F.col("c.centre").alias("centre")))
+    near = cut(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_near(RADIUS), "node long, least long, centre long"))
+    blocks = cut(connected_components(block_links(near)))
+    named = near.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
+    partner = cut(named.groupBy("node").agg(F.max(F.struct("times", "centre")).alias("c")).select("node", F.col("c.centre").alias("centre")))
     salts = cut(partner.groupBy("centre").agg(F.ceil(F.count("*") / SALT).cast("long").alias("salts")))
     members = partner.join(salts, "centre").select("centre", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.lit(1).alias("member"), "node")
     centres = salts.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("centre").alias("node"))

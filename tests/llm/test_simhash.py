@@ -161,3 +161,23 @@ def test_every_link_comes_through_fingerprint_buckets(spark, monkeypatch):
     assert left(spark, texts) == {0}
     monkeypatch.setattr(N, "RADIUS", 0)  # then only equal fingerprints are joined
     assert left(spark, texts) == {0, 1}
+
+
+def test_a_large_group_makes_few_links_for_a_document(spark, monkeypatch):
+    rng, base, asked = np.random.default_rng(5), [f"g{k}" for k in range(124)], []
+    texts = [swapped(base, {int(p): f"c{c}" for p in rng.choice(120, int(rng.integers(1, 6)), replace=False)}) for c in range(240)]
+    monkeypatch.setattr(N, "connected_components", lambda edges: (asked.append(edges.collect()), connected_components(edges))[1])
+    monkeypatch.setattr(N, "BUCKET", 16)  # 4 bits and 33 tables
+    assert N.layout(len(texts)) == (4, 33)
+    assert left(spark, texts) == brute_left(texts)
+    nodes = {x for row in asked[0] for x in row}
+    assert len(nodes) == len(texts) and len(nodes) - 1 <= len(asked[0]) <= 2 * len(nodes)
+
+
+def test_block_links_connect_what_the_buckets_do(spark):
+    rng = np.random.default_rng(6)
+    sets = [sorted({int(x) for x in rng.integers(0, 300, 4)}) for _ in range(60)]
+    near = [(x, own[0], own[-1]) for own in sets for x in own]
+    got = {r["node"]: r["root"] for r in connected_components(N.block_links(spark.createDataFrame(near, "node long, least long, centre long"))).collect()}
+    want = components({x: x for x in range(300)}, lambda a, b: any(a in own and b in own for own in sets))
+    assert got == {x: root for x, root in want.items() if any(x in own and len(own) > 1 for own in sets)}
